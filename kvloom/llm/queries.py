@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.llm import minhash, packing, pieces, repetition, substrings
+from kvloom.llm import minhash, packing, paragraphs, pieces, repetition, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.fingerprints(documents(spark, sf_dir))
