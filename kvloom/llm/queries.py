@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.llm import minhash, packing, paragraphs, pieces, repetition, substrings
+from kvloom.llm import licenses, minhash, packing, paragraphs, pieces, repetition, separators, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,13 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op5_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.counts_of_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), 49407)
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
