@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvloom.llm import licenses, minhash, packing, paragraphs, pieces, repetition, separators, substrings
+from kvloom.llm import licenses, linkgraph, minhash, packing, paragraphs, perplexity, pieces, repetition, separators, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,13 @@ def op5_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
+
+
+@query
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query
+def op10_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
