@@ -15,6 +15,7 @@ from kvloom.operators import maintenance, reads, sketches
 from kvloom.operators import stats as st
 from kvloom.operators.fold import latest
 from kvloom.sources import rawlog
+from kvloom.sources.ship import ship
 from kvloom.sources.wal import wal_offsets
 from kvloom.streaming.incremental import fold_available
 from kvloom.streaming.pubsub import deliveries, subscribers
@@ -44,6 +45,7 @@ def query(sql: str | None = None, base: bool = True) -> Callable[[Query], Query]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
