@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvloom.llm import licenses, linkgraph, minhash, packing, paragraphs, perplexity, pieces, repetition, separators, substrings
+from kvloom.sources.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,8 +19,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def tokenizer(name: str) -> str:
@@ -72,9 +78,9 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return perplexity.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 @query
 def op10_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkgraph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return linkgraph.judge(table(spark, sf_dir, "pages"))
