@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvloom.llm import filters, shared
@@ -27,9 +27,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 SIZE = BANDS * ROWS
-#: Candidate classes of a band that are compared pair by pair; a band with more is divided by another signature first.
-PAIRWISE = 128
-FINER_BANDS, FINER_ROWS = 14, 3
 RANK_BITS, FRACTION = 44, 33
 U = np.uint64
 SIGNED = "doc_id long, n_words long, key long, key2 long, bands array<long>"
@@ -154,16 +151,47 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n).cast(pa.int64()), pa.ListArray.from_arrays(edges, elements[new].view(np.int64))], names=["doc_id", "shingles"])
 
 
-def _finer(level: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("shingles")
-            elements, edges = lists.flatten().to_numpy().view(U), lists.offsets.to_numpy()
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(edges))
-            found = bands(signatures(elements, owner, batch.num_rows, FINER_BANDS * FINER_ROWS, seed=level), FINER_BANDS, FINER_ROWS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(np.arange(batch.num_rows + 1, dtype=np.int32) * FINER_BANDS, found.ravel())], names=["doc_id", "finer"])
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(shingle, doc_id, size, rest): of each set the rarest shingles, as many as two sets of that similarity can't both lack in common; rest counts it and those after it.
+
+    Sets that share only what is frequent, such as one passage that many texts hold, have rarer shingles of their own and don't meet.
+    """
+    rows = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    ranked = rows.join(often, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
+    size = F.size("s")
+    count = size - F.ceil(similarity * size - 1e-9) + 1
+    return ranked.select("doc_id", size.alias("size"), F.posexplode(F.slice("s", F.lit(1), count.cast("int"))).alias("at", "x")).filter("x.often > 1").select("x.shingle", "doc_id", "size", (F.col("size") - F.col("at")).alias("rest"))
+
+
+def _labelled(marks: DataFrame, labels: DataFrame) -> DataFrame:
+    """Marks with classes, of shingles that more than one class has."""
+    own = marks.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("shingle", "doc_id", "size", "rest", F.coalesce("label", "doc_id").alias("label"))
+    several = own.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("shingle")
+    return own.join(several, "shingle", "left_semi")
+
+
+def first_of_others(marks: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Each text with the first text that has the same mark, where that is of another class: linear in the marks."""
+    own = _labelled(marks, labels)
+    first = own.groupBy("shingle").agg(F.min(F.struct("doc_id", "label", "size", "rest")).alias("f"))
+    met = own.join(first, "shingle").filter((F.col("label") != F.col("f.label")) & _may("size", "rest", "f.size", "f.rest", similarity))
+    return met.select(F.col("doc_id").alias("a"), F.col("f.doc_id").alias("b")).distinct()
 
-    return rows
+
+def all_of_others(marks: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of texts that share a mark and are still in different classes."""
+    own = _labelled(marks, labels)
+    other = own.toDF("shingle", "other", "size2", "rest2", "label2")
+    fits = (own["doc_id"] > other["other"]) & (own["label"] != other["label2"]) & _may("size", "rest", "size2", "rest2", similarity)
+    met = own.join(other, (own["shingle"] == other["shingle"]) & fits)
+    return met.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
+
+
+def _may(size: str, rest: str, size2: str, rest2: str, similarity: float) -> Column:
+    """Whether two sets whose first common shingle this is can be similar: no more than what follows it in both is common."""
+    need = similarity / (1 + similarity) * (F.col(size) + F.col(size2)) - 1e-9
+    return F.least(F.col(rest), F.col(rest2)) >= need
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -184,9 +212,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     0.8 shares a band with a chance of 0.99996. Texts without words (null, empty, white space) are classes of their own, as are
     rows with a null doc_id, whose class_id is null. Rows that share a doc_id are one document. Other columns are not read.
 
-    Copies are set to their first document before anything else. In each band every text is compared with the band's first;
-    what that leaves in different classes is compared pair by pair where a band has at most PAIRWISE classes, and is divided by
-    further signatures where it has more.
+    Copies are set to their first document before anything else. In each band every text is compared with the band's first.
+    Texts of bands that are then still of several classes are joined on their rarest shingles, of which two similar texts
+    must share one; pairs of different classes are compared. No link is lost in that step, and texts that one common passage joins don't meet.
     """
     docs = docs.select("doc_id", "text")
     known = docs.filter(F.col("doc_id").isNotNull())
@@ -205,31 +233,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     stars = rows.filter("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     links = shared.written(verified(stars, sets, similarity), "links")
-    tried = stars
     labels = components(links)
-    level = 0
-    active = rows.select("band", "doc_id")
-    while True:
-        with_label = active.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        several = with_label.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.approx_count_distinct("label").alias("n")).filter("x < y").select("band", "n")
-        open_rows = shared.written(with_label.join(several, "band"), "open")
-        if open_rows.isEmpty():
-            break
-        few = open_rows.filter(F.col("n") <= PAIRWISE).select("band", "doc_id", "label")
-        other = few.toDF("band", "other", "label2")
-        pairs = few.join(other, "band").filter((F.col("label") != F.col("label2")) & (F.col("doc_id") > F.col("other")))
-        pairs = pairs.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+    with_label = rows.select("band", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    several = with_label.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("band")
+    apart = shared.written(with_label.join(several, "band", "left_semi").select("doc_id").distinct(), "apart")
+    marks = shared.written(prefixes(sets.join(apart, "doc_id", "left_semi"), similarity), "marks")
+    for pairs_of in (first_of_others, all_of_others):
+        pairs = shared.written(pairs_of(marks, labels, similarity), "pairs")
         more = shared.written(verified(pairs, sets, similarity), "links")
-        links = links.unionByName(more)
         if not more.isEmpty():
+            links = links.unionByName(more)
             labels = components(links)
-        many = open_rows.filter(F.col("n") > PAIRWISE).select("band", "doc_id")
-        if many.isEmpty():
-            break
-        level += 1
-        finer = sets.join(many.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_finer(level), "doc_id long, finer array<long>")
-        active = many.join(finer, "doc_id").select(F.explode("finer").alias("f"), "band", "doc_id").select(F.xxhash64("band", "f").alias("band"), "doc_id").distinct()
-        active = shared.written(active, "bands")
 
     first_of = texts.join(labels, texts["owner"] == labels["node"], "left").select("doc_id", "owner", F.coalesce("label", "owner").alias("class_id"))
     by_doc = first_of.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
