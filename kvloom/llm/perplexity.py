@@ -182,7 +182,7 @@ def _packed(*arrays: np.ndarray) -> bytes:
 
     parts = [np.array([len(a) for a in arrays], "<i8").tobytes()]
     for i, a in enumerate(arrays):
-        parts.append(a.astype("<i8" if i == 5 else "<i4").view(np.uint8).reshape(len(a), -1).T.tobytes())  # bytes of one weight together
+        parts.append(a.astype("<i8" if i == 5 else "<i4").view(np.uint8).reshape(len(a), 8 if i == 5 else 4).T.tobytes())  # bytes of one weight together
     return zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
 
 
