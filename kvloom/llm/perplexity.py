@@ -24,7 +24,7 @@ from kvloom.llm import filters, shared
 from kvloom.llm import text as T
 from kvloom.llm.tokens import DICTIONARY_BLOCK, spans
 
-ORDER = 5
+ORDER = 4
 BEFORE, AFTER = "\x02", "\x03"
 #: Characters that an n-gram never seen is spread over.
 ALPHABET = 65536
@@ -35,6 +35,8 @@ PRIOR = 100
 #: Perplexities fall into steps of this in their logarithm, for exact quantiles from bounded histograms.
 STEP = 0.001
 STEPS = 20_000
+#: Up to so many trusted ids (8 bytes each) go to the executors; more are joined in a shuffle, to the same result.
+BROADCAST_IDS = 1_000_000
 KEY = ["lang", "gram"]
 
 
@@ -244,7 +246,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     good = labels.filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
     good = shared.written(good, "trusted")
     known = docs.select("doc_id", "lang", "text").filter("doc_id IS NOT NULL")
-    trusted = filters.passes(known, "doc_id", filters.of(good, "doc_id")).join(good, "doc_id", "left_semi")
+    if good.count() <= BROADCAST_IDS:
+        trusted = known.join(F.broadcast(good), "doc_id", "left_semi")
+    else:
+        trusted = filters.passes(known, "doc_id", filters.of(good, "doc_id")).join(good, "doc_id", "left_semi")
     probabilities, weights = model(trusted)
     done = shared.written(scores(docs, probabilities, weights), "scores")
     mine = done.join(good, "doc_id", "left_semi").filter("n > 0")
