@@ -21,6 +21,8 @@ FOLD_BITS = 2
 #: Bits of a cell's place in its row, and the seed of the places, at each try.
 LEVELS = ((4, 101), (6, 202), (8, 303))
 CHECK = 99
+#: Stands for a null doc_id in joins; no document may have it.
+NO_ID = -(1 << 63)
 #: Where one paragraph ends and the next begins.
 BREAK = r"(?<=[.!?])[ \t\r]+|\n+"
 
@@ -106,30 +108,30 @@ def _sided(column: str, side: int) -> Column:
 
 
 def compare(pairs: DataFrame) -> DataFrame:
-    """pairs(doc_id, first, second, third, ...) of arrays of digests to near_second, near_third and fingerprints of first and second.
+    """pairs(key, first, second, third, ...) of arrays of digests to the other columns, fingerprints of first and second, near_edited, near_next.
 
-    Rows are told apart by a number, so repeated rows stay. Other columns come through.
+    Rows are told apart by a number, so repeated rows stay. Where pairs is dealt by key, nothing is shuffled.
     """
-    kept = [c for c in pairs.columns if c not in ("first", "second", "third")]
+    kept = [c for c in pairs.columns if c not in ("key", "first", "second", "third")]
     n = [F.size(c) for c in ("first", "second", "third")]
     parts = F.greatest(F.lit(1), F.ceil((n[0] + n[1] + n[2]) / (3 * PART))).cast("int")
-    rows = pairs.select(*kept, "first", "second", "third", F.monotonically_increasing_id().alias("row"), parts.alias("parts"))
+    rows = pairs.select("key", *kept, "first", "second", "third", F.monotonically_increasing_id().alias("row"), parts.alias("parts"))
     sided = F.concat(*[_sided(c, i) for i, c in enumerate(("first", "second", "third"))])
     head = F.struct(*kept)
     # the first element of each row carries the row's own columns, once, and keeps rows without paragraphs
     every = F.concat(F.array(F.struct(F.lit(9).alias("side"), F.lit(0).cast("long").alias("k"))), sided)
-    items = rows.select("doc_id", "row", "parts", head.alias("head"), F.explode(every).alias("x"))
-    items = items.select("doc_id", "row", F.when(F.col("x.side") == 9, 0).otherwise(F.pmod(F.xxhash64("x.k", F.lit(7)), F.col("parts"))).cast("int").alias("part"), "x", F.when(F.col("x.side") == 9, F.col("head")).alias("head"))
-    grouped = items.groupBy("doc_id", "row", "part").agg(F.collect_list("x").alias("x"), F.max("head").alias("head"))
+    items = rows.select("key", "row", "parts", head.alias("head"), F.explode(every).alias("x"))
+    items = items.select("key", "row", F.when(F.col("x.side") == 9, 0).otherwise(F.pmod(F.xxhash64("x.k", F.lit(7)), F.col("parts"))).cast("int").alias("part"), "x", F.when(F.col("x.side") == 9, F.col("head")).alias("head"))
+    grouped = items.groupBy("key", "row", "part").agg(F.collect_list("x").alias("x"), F.max("head").alias("head"))
     signed = "transform(filter(x, i -> i.side = 0 OR i.side = {0}), i -> named_struct('s', if(i.side = 0, 1, -1), 'k', i.k))"
     only = "transform(filter(x, i -> i.side = {0}), i -> named_struct('s', 1, 'k', i.k))"
     count = "size(filter(x, i -> i.side = {0}))"
     work = grouped.select(
-        "doc_id", "row", "head", *[F.expr(count.format(i)).alias(f"n{i}") for i in range(3)],
+        "key", "row", "head", *[F.expr(count.format(i)).alias(f"n{i}") for i in range(3)],
         F.expr(signed.format(1)).alias("s1"), F.expr(signed.format(2)).alias("s2"), F.expr(only.format(0)).alias("o0"), F.expr(only.format(1)).alias("o1"),
     )
-    done = work.select("doc_id", "row", "head", "n0", "n1", "n2", F.expr(difference("s1")).alias("d1"), F.expr(difference("s2")).alias("d2"), F.expr(_folded("o0")).alias("f0"), F.expr(_folded("o1")).alias("f1"))
-    by_row = done.groupBy("doc_id", "row").agg(
+    done = work.select("key", "row", "head", "n0", "n1", "n2", F.expr(difference("s1")).alias("d1"), F.expr(difference("s2")).alias("d2"), F.expr(_folded("o0")).alias("f0"), F.expr(_folded("o1")).alias("f1"))
+    by_row = done.groupBy("key", "row").agg(
         F.max("head").alias("head"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(3)], F.sum("d1.p").alias("p1"), F.sum("d2.p").alias("p2"), F.collect_list("f0").alias("f0"), F.collect_list("f1").alias("f1")
     )
     return by_row.select(
@@ -148,15 +150,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     null doc_id has nothing after it: its edited text ends in nothing. Other columns are not read. Equal texts have equal fingerprints.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    known = texts.filter(F.col("doc_id").isNotNull())
+    # both uses of the texts read the same columns in the same way, so they share one shuffle; a null id has a key of its own
+    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sizes = docs.select("doc_id", F.coalesce(F.floor(F.char_length("text") / 2), F.lit(0)).alias("need")).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("need").alias("need"))
-    order = following(sizes.select("doc_id"), parts).join(sizes, "doc_id").select(F.col("doc_id").alias("before"), "next_id", "need")
-    given = known.join(order, known["doc_id"] == order["next_id"]).select("before", F.expr("left(text, cast(need as int))").alias("lead"), digests(F.col("text")).alias("third"))
+    order = following(sizes.select("doc_id"), parts).join(sizes, "doc_id").select(F.col("doc_id").alias("before"), F.coalesce("next_id", "doc_id").alias("next_id"), "need")
+    given = texts.join(order, texts["key"] == order["next_id"]).select("before", F.expr("left(text, cast(need as int))").alias("lead"), digests(F.col("text")).alias("third"))
     given = given.groupBy("before").agg(F.max(F.struct("lead", "third")).alias("g")).select("before", "g.*")
-    both = texts.join(given, texts["doc_id"] == given["before"], "left")
+    both = texts.join(given, texts["key"] == given["before"], "left")
     half = "cast(floor(char_length(text) / 2) as int)"
     edited = F.expr(f"concat(left(text, char_length(text) - {half}), left(coalesce(lead, ''), {half}))")
-    pairs = both.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), digests(F.col("text")).alias("first"), digests(edited).alias("second"), F.coalesce("third", F.array().cast("array<long>")).alias("third"))
+    doc_id = F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id")
+    pairs = both.select("key", doc_id, F.char_length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), digests(F.col("text")).alias("first"), digests(edited).alias("second"), F.coalesce("third", F.array().cast("array<long>")).alias("third"))
     return compare(pairs)
