@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PART = 12
+PART = 4
 FOLD_BITS = 2
 #: Bits of a cell's place in its row, and the seed of the places, at each try.
-LEVELS = ((4, 101), (6, 202), (8, 303))
+LEVELS = ((3, 101), (5, 202), (7, 303))
 CHECK = 99
 #: Stands for a null doc_id in joins; no document may have it.
 NO_ID = -(1 << 63)
