@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that numpy handles at once. A longer document is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 U64 = np.uint64
@@ -130,6 +130,7 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
         end = min(end, n)
         yield cut(buf, offsets[at : end + 1], at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:

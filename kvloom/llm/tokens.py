@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 from kvloom.llm import text as T
 
 #: Bytes of text whose words meet in one dictionary, and words that a worker remembers (some 40 bytes each).
-DICTIONARY_BLOCK = 16 << 20
-REMEMBERED = 1_500_000
+DICTIONARY_BLOCK = 8 << 20
+REMEMBERED = 700_000
 #: Latin letters, then plain marks. Lower-casing one of these letters gives one letter, and none of them composes with what stands beside it.
 PLAIN = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,;:!?|]*)$"
 _workers: dict = {}
