@@ -139,6 +139,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
                         seen[len(piece)] += 1
                 columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PIECES.split(", ")])
+        encoder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(rows, PIECES)
 

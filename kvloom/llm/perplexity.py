@@ -38,6 +38,8 @@ STEPS = 20_000
 #: Up to so many trusted ids (8 bytes each) go to the executors; more are joined in a shuffle, to the same result.
 BROADCAST_IDS = 1_000_000
 KEY = ["lang", "gram"]
+#: Bytes of one language that make a block, and bytes of all languages that a task holds back until they do.
+BLOCK_READY, HELD = 5 << 20, 32 << 20
 
 
 def grams_of_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -45,26 +47,53 @@ def grams_of_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]
     padded = [BEFORE * (ORDER - 1) + w + AFTER for w in words]
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4")
     lens = np.array([len(p) for p in padded], np.int64)
+    del padded
     first = np.cumsum(lens) - lens
     n = lens - ORDER + 1
-    at = np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    letters, place = np.unique(codes, return_inverse=True)
+    edges = np.concatenate(([0], np.cumsum(n)))
+    at = np.arange(edges[-1], dtype=np.int32)
+    at += np.repeat((first - edges[:-1]).astype(np.int32), n)
+    place = np.zeros(0x110000, np.uint16)
+    place[codes] = 1
+    letters = np.flatnonzero(place)
     if len(letters) <= 4096:
+        place[letters] = np.arange(len(letters))
         key = np.zeros(len(at), np.uint64)
         for j in range(ORDER):
-            key = (key << np.uint64(12)) | place[at + j].astype(np.uint64)
-        _, where, of = np.unique(key, return_index=True, return_inverse=True)
+            key <<= np.uint64(12)
+            key |= place[codes[at + j]]
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        where = order[new]
+        of = np.empty(len(key), np.int32)
+        of[order] = np.cumsum(new, dtype=np.int32) - 1
+        del key, order, new
     else:
         rows = np.ascontiguousarray(np.stack([codes[at + j] for j in range(ORDER)], axis=1))
         _, where, of = np.unique(rows.view(f"V{4 * ORDER}").ravel(), return_index=True, return_inverse=True)
-    text = codes[(at[where][:, None] + np.arange(ORDER)).ravel()].astype("<u4").tobytes().decode("utf-32-le")
-    return of.ravel(), np.concatenate(([0], np.cumsum(n))), [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+    text = codes[(at[where][:, None] + np.arange(ORDER, dtype=np.int32)).ravel()].astype("<u4").tobytes().decode("utf-32-le")
+    return of.ravel(), edges, [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
 
 
-def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
-    langs = np.array(["" if x is None else x for x in batch.column("lang").to_pylist()], object)
-    for lang in sorted(set(langs)):
-        yield lang, np.flatnonzero(langs == lang)
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Rows of one language at a time, gathered over batches: the larger a block, the fewer questions are asked twice."""
+    held: dict[str, list[pa.RecordBatch]] = {}
+    size: dict[str, int] = {}
+    for batch in batches:
+        langs = np.array(["" if x is None else x for x in batch.column("lang").to_pylist()], object)
+        for lang in sorted(set(langs)):
+            part = batch.take(pa.array(np.flatnonzero(langs == lang)))
+            held.setdefault(lang, []).append(part)
+            size[lang] = size.get(lang, 0) + part.nbytes
+        for lang in sorted(size, key=lambda x: (-size[x], x)):
+            if size[lang] < BLOCK_READY and sum(size.values()) <= HELD:
+                break
+            size.pop(lang)
+            yield lang, pa.concat_batches(held.pop(lang))
+    for lang in sorted(held):
+        yield lang, pa.concat_batches(held[lang])
 
 
 def _vocabulary(b: T.Block) -> tuple[np.ndarray, list[str]]:
@@ -72,14 +101,16 @@ def _vocabulary(b: T.Block) -> tuple[np.ndarray, list[str]]:
     buf = b.buf.copy()
     buf[T.IS_SPACE[buf]] = 32
     found = spans(buf, b.starts)
-    numbers = np.asarray(found.indices)
-    words = [w.strip(" ") for w in found.dictionary.to_pylist()]
+    del buf
+    numbers, ends = np.asarray(found.indices), found.dictionary.to_pylist()
+    del found
     # words before a run of spaces or the end of a text are the same words
     distinct: dict[str, int] = {}
-    same = np.array([distinct.setdefault(w, len(distinct)) for w in words], np.int64)
+    same = np.array([distinct.setdefault(w.strip(" "), len(distinct)) for w in ends], np.int32)
+    del ends
     numbers = same[numbers]
     order = np.argsort(-np.bincount(numbers, minlength=len(distinct)), kind="stable")
-    rank = np.empty_like(order)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
     names = list(distinct)
     return rank[numbers], [names[i] for i in order]
@@ -87,16 +118,15 @@ def _vocabulary(b: T.Block) -> tuple[np.ndarray, list[str]]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-gram counts of blocks of trusted text."""
-    for batch in batches:
-        for lang, rows in _by_language(batch):
-            for b in T.blocks(batch.column("text").take(pa.array(rows)), DICTIONARY_BLOCK):
-                if not len(b.starts):
-                    continue
-                numbers, words = _vocabulary(b)
-                of, edges, grams = grams_of_words(words)
-                weight = np.repeat(np.bincount(numbers, minlength=len(words)), np.diff(edges))
-                n = np.bincount(of, weights=weight, minlength=len(grams)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
+    for lang, own in _by_language(batches):
+        for b in T.blocks(own.column("text"), DICTIONARY_BLOCK // 2):
+            if not len(b.starts):
+                continue
+            numbers, words = _vocabulary(b)
+            of, edges, grams = grams_of_words(words)
+            weight = np.repeat(np.bincount(numbers, minlength=len(words)), np.diff(edges))
+            n = np.bincount(of, weights=weight, minlength=len(grams)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
 
 
 def model(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -162,21 +192,21 @@ BLOCKS = "block string, lang string, grams array<string>, bags binary"
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks: the n-grams they ask for, and the documents as bags of words over them."""
     part, number = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        for lang, rows in _by_language(batch):
-            own = batch.take(pa.array(rows))
-            for b in T.blocks(own.column("text"), DICTIONARY_BLOCK):
-                numbers, words = _vocabulary(b) if len(b.starts) else (np.zeros(0, np.int64), [])
-                of, edges, grams = grams_of_words(words) if words else (np.zeros(0, np.int64), np.zeros(1, np.int64), [])
-                doc = b.doc()
-                order = np.lexsort((numbers, doc))
-                numbers, doc = numbers[order], doc[order]
-                step = np.diff(numbers, prepend=0)
-                step[np.flatnonzero(np.diff(doc, prepend=-1))] = numbers[np.flatnonzero(np.diff(doc, prepend=-1))]
-                ids = own.column("doc_id").slice(b.first, b.n)
-                table = pa.table({"data": [_packed(step, of, np.diff(edges), np.diff(b.words), ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy())]})
-                yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), pa.array([lang]), pa.array([grams], pa.list_(pa.string())), table["data"].combine_chunks().cast(pa.binary())], names=["block", "lang", "grams", "bags"])
-                number += 1
+    for lang, own in _by_language(batches):
+        for b in T.blocks(own.column("text"), DICTIONARY_BLOCK):
+            numbers, words = _vocabulary(b) if len(b.starts) else (np.zeros(0, np.int32), [])
+            of, edges, grams = grams_of_words(words) if words else (np.zeros(0, np.int32), np.zeros(1, np.int64), [])
+            del words
+            # each document's words by number, as steps from one to the next
+            numbers = np.sort((b.doc() << 32) | numbers)
+            first = np.flatnonzero(np.diff(numbers >> 32, prepend=-1))
+            numbers = (numbers & 0xFFFFFFFF).astype(np.int32)
+            step = np.diff(numbers, prepend=np.int32(0))
+            step[first] = numbers[first]
+            ids = own.column("doc_id").slice(b.first, b.n)
+            table = pa.table({"data": [_packed(step, of, np.diff(edges), np.diff(b.words), ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy())]})
+            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), pa.array([lang]), pa.array([grams], pa.list_(pa.string())), table["data"].combine_chunks().cast(pa.binary())], names=["block", "lang", "grams", "bags"])
+            number += 1
 
 
 def _packed(*arrays: np.ndarray) -> bytes:

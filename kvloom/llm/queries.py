@@ -19,8 +19,19 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Bytes of an Arrow batch between an executor and its workers; the default of 10,000 rows is as large as the rows are.
+BATCH_BYTES = 6 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """The package on all executors, and batches of bounded bytes unless the session has a bound."""
     ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -64,6 +64,7 @@ def write_flat(docs: DataFrame, path: str, end_id: int, block_bytes: int = BLOCK
                 block, number = block + full, number + b.n
         if len(left):
             yield _made(file, [block], [left.tobytes()], None, None)
+        encoder.forget()
 
     made = shared.written(docs.select("doc_id", "text").mapInArrow(rows, "file string, block long, data binary, number long, doc_id long"), "tokens")
     return made.filter("block IS NOT NULL").select("file", "block", "data"), made.filter("number IS NOT NULL").select("file", "number", "doc_id")

@@ -129,6 +129,12 @@ class WordIds:
             out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
         return out
 
+    def forget(self) -> None:
+        """Gives back what is remembered of words: a worker outlives its task, and the next may need the memory."""
+        for memory in (self.cores, self.odd, self.tails):
+            memory.clear()
+        pa.default_memory_pool().release_unused()
+
     def words(self, words: pa.Array) -> pa.Array:
         words = pc.ascii_trim_whitespace(words)
         parts = pc.extract_regex(words, PLAIN)
@@ -151,7 +157,7 @@ class WordIds:
 
 
 def word_ids(path: str) -> WordIds:
-    """One for each worker process and file: what it knows is kept between tasks."""
+    """One for each worker process and file. The tokenizer is kept between tasks; words are remembered until forget()."""
     if path not in _workers:
         _workers[path] = WordIds(path)
     return _workers[path]
