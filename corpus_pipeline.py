@@ -10,36 +10,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kvloom.llm import minhash, packing, perplexity, queries, repetition, shared, substrings
-from kvloom.sources.ship import ship
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: documents above their language's perplexity limit go. The model is trained on the trusted ones among docs."""
-    ship(spark)
+    queries.ready(spark)
     return perplexity.keep(docs, queries.table(spark, sf_dir, "labels"))
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that the repetition rules reject go."""
-    ship(spark)
+    queries.ready(spark)
     return repetition.keep(docs)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of each class of near duplicates the document with the least doc_id stays."""
-    ship(spark)
+    queries.ready(spark)
     return minhash.one_of_each(docs)
 
 
 def stripped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: passages of 50 words or more that an earlier document has are cut from the text."""
-    ship(spark)
+    queries.ready(spark)
     return substrings.strip_repeats(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: pieces of the remaining texts with their places in sequences of 2048 ids."""
-    ship(spark)
+    queries.ready(spark)
     return packing.pack(docs, queries.tokenizer("word_bpe_49k.json"))
 
 
