@@ -1,11 +1,12 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is one of characters in words, for each language: ORDER-grams within a word, with marks before it and after it. Counts
+The model is one of characters in running text, for each language: ORDER-grams of a text's words with a space between, with marks before
+the text and after it, so the order of words and their repetition count. (Words on their own can be modelled as well.) Counts
 come from all trusted documents. They and all that follows from them (continuation counts, discounts, back-off weights, probabilities)
 are tables keyed by language and n-gram, which are never gathered: what documents need of them is joined in.
 
-A document is a bag of words and a word a few n-grams. Documents are read in blocks; a block asks for each n-gram once, answers
-are joined to the distinct questions of all blocks, and each block gets its own answers back beside its bags.
+Documents are read in blocks; a block asks for each n-gram once, answers are joined to the distinct questions of all blocks, and
+each block gets its own answers back beside its texts, whose n-grams are numbered again.
 """
 
 from __future__ import annotations
@@ -38,13 +39,15 @@ STEPS = 20_000
 #: Up to so many trusted ids (8 bytes each) go to the executors; more are joined in a shuffle, to the same result.
 BROADCAST_IDS = 1_000_000
 KEY = ["lang", "gram"]
+#: Places of a table that numbers n-grams; beyond that they are sorted.
+TABLE = 1 << 24
 #: Bytes of one language that make a block, and bytes of all languages that a task holds back until they do.
 BLOCK_READY, HELD = 5 << 20, 32 << 20
 
 
-def grams_of_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(of, edges, distinct): of each word's n-grams the number among the distinct ones; edges say where each word's begin."""
-    padded = [BEFORE * (ORDER - 1) + w + AFTER for w in words]
+def grams_of(units: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(of, edges, distinct): of each unit's n-grams the number among the distinct ones; edges say where each unit's begin. The same units give the same numbers."""
+    padded = [BEFORE * (ORDER - 1) + w + AFTER for w in units]
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4")
     lens = np.array([len(p) for p in padded], np.int64)
     del padded
@@ -53,28 +56,29 @@ def grams_of_words(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]
     edges = np.concatenate(([0], np.cumsum(n)))
     at = np.arange(edges[-1], dtype=np.int32)
     at += np.repeat((first - edges[:-1]).astype(np.int32), n)
-    place = np.zeros(0x110000, np.uint16)
+    place = np.zeros(0x110000, np.int32)
     place[codes] = 1
     letters = np.flatnonzero(place)
-    if len(letters) <= 4096:
-        place[letters] = np.arange(len(letters))
-        key = np.zeros(len(at), np.uint64)
-        for j in range(ORDER):
-            key <<= np.uint64(12)
-            key |= place[codes[at + j]]
-        order = np.argsort(key, kind="stable").astype(np.int32)
-        key = key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        where = order[new]
-        of = np.empty(len(key), np.int32)
-        of[order] = np.cumsum(new, dtype=np.int32) - 1
-        del key, order, new
-    else:
-        rows = np.ascontiguousarray(np.stack([codes[at + j] for j in range(ORDER)], axis=1))
-        _, where, of = np.unique(rows.view(f"V{4 * ORDER}").ravel(), return_index=True, return_inverse=True)
-    text = codes[(at[where][:, None] + np.arange(ORDER, dtype=np.int32)).ravel()].astype("<u4").tobytes().decode("utf-32-le")
-    return of.ravel(), edges, [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
+    place[letters] = np.arange(len(letters))
+    letter = place[codes]
+    of, count = letter[at], len(letters)
+    for j in range(1, ORDER):  # from numbers of shorter n-grams those of longer ones
+        key = of.astype(np.int64) * len(letters) + letter[at + j]
+        if count * len(letters) <= TABLE:
+            number = np.zeros(count * len(letters), np.int32)
+            number[key] = 1
+            found = np.flatnonzero(number)
+            number[found] = np.arange(len(found))
+            of, count = number[key], len(found)
+            del number
+        else:
+            found, of = np.unique(key, return_inverse=True)
+            of, count = of.ravel().astype(np.int32), len(found)
+        del key, found
+    where = np.empty(count, np.int32)
+    where[of] = at
+    text = codes[(where[:, None] + np.arange(ORDER, dtype=np.int32)).ravel()].astype("<u4").tobytes().decode("utf-32-le")
+    return of, edges, [text[i : i + ORDER] for i in range(0, len(text), ORDER)]
 
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
@@ -116,22 +120,41 @@ def _vocabulary(b: T.Block) -> tuple[np.ndarray, list[str]]:
     return rank[numbers], [names[i] for i in order]
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _units(b: T.Block, running: bool) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Of each unit its number, the distinct units, and how many each document has: its words, or all of them in turn with a space between as one unit."""
+    if not running:
+        numbers, words = _vocabulary(b) if len(b.starts) else (np.zeros(0, np.int32), [])
+        return numbers, words, np.diff(b.words)
+    distinct: dict[bytes, int] = {}
+    numbers, has = [], np.diff(b.words) > 0
+    data = b.buf.tobytes()
+    for i in np.flatnonzero(has):
+        numbers.append(distinct.setdefault(b" ".join(data[b.offsets[i] : b.offsets[i + 1]].split()), len(distinct)))
+    return np.array(numbers, np.int32), [t.decode() for t in distinct], has.astype(np.int64)
+
+
+def _counted(running: bool):
     """n-gram counts of blocks of trusted text."""
-    for lang, own in _by_language(batches):
-        for b in T.blocks(own.column("text"), DICTIONARY_BLOCK // 2):
-            if not len(b.starts):
-                continue
-            numbers, words = _vocabulary(b)
-            of, edges, grams = grams_of_words(words)
-            weight = np.repeat(np.bincount(numbers, minlength=len(words)), np.diff(edges))
-            n = np.bincount(of, weights=weight, minlength=len(grams)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
-
-
-def model(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((lang, gram, p), (lang, gram, weight)) from rows (lang, text): probabilities of all n-grams of 1 to ORDER characters, and back-off weights of contexts."""
-    counts = trusted.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(_counted, "lang string, gram string, n long").groupBy(*KEY).agg(F.sum("n").alias("n"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, own in _by_language(batches):
+            for b in T.blocks(own.column("text"), DICTIONARY_BLOCK // 2):
+                if not len(b.starts):
+                    continue
+                numbers, units, _ = _units(b, running)
+                of, edges, grams = grams_of(units)
+                weight = np.repeat(np.bincount(numbers, minlength=len(units)), np.diff(edges))
+                n = np.bincount(of, weights=weight, minlength=len(grams)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams), pa.array(n)], names=["lang", "gram", "n"])
+
+    return rows
+
+
+def model(trusted: DataFrame, running: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((lang, gram, p), (lang, gram, weight)) from rows (lang, text): probabilities of all n-grams of 1 to ORDER characters, and back-off weights of contexts.
+
+    With running, n-grams are those of whole texts, across the ends of words; without, of each word on its own."""
+    counts = trusted.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(_counted(running), "lang string, gram string, n long").groupBy(*KEY).agg(F.sum("n").alias("n"))
     orders = {ORDER: shared.written(counts, "grams")}
     for k in range(ORDER - 1, 0, -1):  # how many different characters stand before it
         orders[k] = shared.written(orders[k + 1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n")), "grams")
@@ -189,73 +212,82 @@ def answers(asked: DataFrame, probabilities: DataFrame, weights: DataFrame) -> D
 BLOCKS = "block string, lang string, grams array<string>, bags binary"
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks: the n-grams they ask for, and the documents as bags of words over them."""
-    part, number = TaskContext.get().partitionId(), 0
-    for lang, own in _by_language(batches):
-        for b in T.blocks(own.column("text"), DICTIONARY_BLOCK):
-            numbers, words = _vocabulary(b) if len(b.starts) else (np.zeros(0, np.int32), [])
-            of, edges, grams = grams_of_words(words) if words else (np.zeros(0, np.int32), np.zeros(1, np.int64), [])
-            del words
-            # each document's words by number, as steps from one to the next
-            numbers = np.sort((b.doc() << 32) | numbers)
-            first = np.flatnonzero(np.diff(numbers >> 32, prepend=-1))
-            numbers = (numbers & 0xFFFFFFFF).astype(np.int32)
-            step = np.diff(numbers, prepend=np.int32(0))
-            step[first] = numbers[first]
-            ids = own.column("doc_id").slice(b.first, b.n)
-            table = pa.table({"data": [_packed(step, of, np.diff(edges), np.diff(b.words), ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy())]})
-            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), pa.array([lang]), pa.array([grams], pa.list_(pa.string())), table["data"].combine_chunks().cast(pa.binary())], names=["block", "lang", "grams", "bags"])
-            number += 1
-
-
-def _packed(*arrays: np.ndarray) -> bytes:
+def _bags(running: bool):
+    """Blocks: the n-grams they ask for, and the documents as bags of units over them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        for lang, own in _by_language(batches):
+            for b in T.blocks(own.column("text"), DICTIONARY_BLOCK):
+                numbers, units, has = _units(b, running)
+                grams = grams_of(units)[2] if units else []
+                # each document's units by number, as steps from one to the next
+                numbers = np.sort((np.repeat(np.arange(b.n), has) << 32) | numbers)
+                first = np.flatnonzero(np.diff(numbers >> 32, prepend=-1))
+                numbers = (numbers & 0xFFFFFFFF).astype(np.int32)
+                step = np.diff(numbers, prepend=np.int32(0))
+                step[first] = numbers[first]
+                ids = own.column("doc_id").slice(b.first, b.n)
+                data = _packed(units, step, has, ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), pa.array([lang]), pa.array([grams], pa.list_(pa.string())), pa.array([data], pa.binary())], names=["block", "lang", "grams", "bags"])
+                number += 1
+
+    return rows
+
+
+def _packed(units: list[str], *arrays: np.ndarray) -> bytes:
+    """Units as text, whose n-grams are numbered anew where they are scored, and arrays, the last of 8 bytes."""
     import zstandard
 
+    texts = [u.encode() for u in units]
+    arrays = (np.array([len(t) for t in texts], np.int64), *arrays)
     parts = [np.array([len(a) for a in arrays], "<i8").tobytes()]
     for i, a in enumerate(arrays):
-        parts.append(a.astype("<i8" if i == 5 else "<i4").view(np.uint8).reshape(len(a), 8 if i == 5 else 4).T.tobytes())  # bytes of one weight together
-    return zstandard.ZstdCompressor(level=6).compress(b"".join(parts))
+        width = 8 if i == 4 else 4
+        parts.append(a.astype(f"<i{width}").view(np.uint8).reshape(len(a), width).T.tobytes())  # bytes of one weight together
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(parts + texts))
 
 
-def _unpacked(data: bytes) -> list[np.ndarray]:
+def _unpacked(data: bytes) -> tuple[list[str], list[np.ndarray]]:
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    sizes, at, out = raw[:48].view("<i8"), 48, []
+    sizes, at, out = raw[:40].view("<i8"), 40, []
     for i, n in enumerate(sizes):
-        width = 8 if i == 5 else 4
-        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view("<i8" if i == 5 else "<i4").ravel().astype(np.int64))
+        width = 8 if i == 4 else 4
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(f"<i{width}").ravel().astype(np.int64))
         at += n * width
-    return out
+    ends = at + np.cumsum(out[0])
+    text = raw.tobytes()
+    return [text[e - n : e].decode() for e, n in zip(ends.tolist(), out[0].tolist(), strict=True)], out[1:]
 
 
 def _scored(bags: pd.DataFrame, logs: pd.DataFrame) -> pd.DataFrame:
     """Log probability and characters of each document of a block."""
     if not len(bags):
         return pd.DataFrame(columns=["doc_id", "lang", "logp", "n"])
-    step, of, grams_in, words_in, missing, ids = _unpacked(bags["bags"].iloc[0])
-    logp = np.full(int(of.max()) + 1 if len(of) else 0, np.nan)
+    units, (step, units_in, missing, ids) = _unpacked(bags["bags"].iloc[0])
+    of, edges, grams = grams_of(units) if units else (np.zeros(0, np.int32), np.zeros(1, np.int64), [])
+    logp = np.full(len(grams), np.nan)
     logp[logs["at"].to_numpy()] = logs["logp"].to_numpy()
     if np.isnan(logp).any():
         raise RuntimeError("a block lacks answers")
     total = np.concatenate(([0.0], np.cumsum(logp[of])))
-    edges = np.concatenate(([0], np.cumsum(grams_in)))
-    word = total[edges[1:]] - total[edges[:-1]]
-    first = np.concatenate(([0], np.cumsum(words_in)))
+    unit, grams_in = total[edges[1:]] - total[edges[:-1]], np.diff(edges)
+    first = np.concatenate(([0], np.cumsum(units_in)))
     run = np.concatenate(([0], np.cumsum(step)))
-    doc = np.repeat(np.arange(len(ids)), words_in)
+    doc = np.repeat(np.arange(len(ids)), units_in)
     numbers = run[1:] - run[first[:-1]][doc] if len(doc) else np.zeros(0, np.int64)
     return pd.DataFrame({
         "doc_id": pd.array(np.where(missing, 0, ids), "Int64").copy() if not missing.any() else pd.array([None if m else int(i) for m, i in zip(missing, ids, strict=True)], "Int64"), "lang": bags["lang"].iloc[0],
-        "logp": np.bincount(doc, weights=word[numbers], minlength=len(ids)), "n": np.bincount(doc, weights=grams_in[numbers], minlength=len(ids)).astype(np.int64),
+        "logp": np.bincount(doc, weights=unit[numbers], minlength=len(ids)), "n": np.bincount(doc, weights=grams_in[numbers], minlength=len(ids)).astype(np.int64),
     })
 
 
-def scores(docs: DataFrame, probabilities: DataFrame, weights: DataFrame) -> DataFrame:
-    """doc_id, lang, logp, n of each row of documents: log probability of its words, and n-grams in them."""
+def scores(docs: DataFrame, probabilities: DataFrame, weights: DataFrame, running: bool = False) -> DataFrame:
+    """doc_id, lang, logp, n of each row of documents: log probability of its words, or of its running text, and n-grams in it; running as the model was made."""
     texts = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    blocks = shared.written(texts.mapInArrow(_bags, BLOCKS), "bags")
+    blocks = shared.written(texts.mapInArrow(_bags(running), BLOCKS), "bags")
     asked = blocks.select("block", "lang", F.posexplode("grams").alias("at", "gram"))
     got = answers(asked.select(*KEY).distinct(), probabilities, weights)
     logs = asked.join(got, KEY).select(F.concat("block", F.lit("")).alias("of_block"), "at", F.col("logp").cast("float").alias("logp"))
@@ -267,7 +299,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     """One row for each row of documents: doc_id, lang, n_grams, perplexity, threshold, kept.
 
     Trusted documents are those that labels calls of quality 1 and not toxic; all of them train the model of their language.
-    perplexity is exp of the mean of minus log p over the characters of a document's words and `prior` more at its language's
+    perplexity is exp of the mean of minus log p over the characters of a document's running text and `prior` more at its language's
     mean over trusted documents. A document is kept if it is not above its language's threshold: the exact `quantile` of trusted
     documents (in steps of 0.1 %) times `margin`. A text without words has its language's mean and is kept; a language without
     trusted documents has no threshold and keeps all. A null lang is a language of its own, shown as ''. Rows with a null doc_id
@@ -280,8 +312,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
         trusted = known.join(F.broadcast(good), "doc_id", "left_semi")
     else:
         trusted = filters.passes(known, "doc_id", filters.of(good, "doc_id")).join(good, "doc_id", "left_semi")
-    probabilities, weights = model(trusted)
-    done = shared.written(scores(docs, probabilities, weights), "scores")
+    probabilities, weights = model(trusted, running=True)
+    done = shared.written(scores(docs, probabilities, weights, running=True), "scores")
     mine = done.join(good, "doc_id", "left_semi").filter("n > 0")
     means = mine.groupBy("lang").agg((-F.sum("logp") / F.sum("n")).alias("mean"))
     smooth = lambda df: df.join(F.broadcast(means), "lang", "left").withColumn("step", F.floor((-F.col("logp") + prior * F.coalesce("mean", F.lit(0.0))) / F.greatest(F.col("n") + F.when(F.col("mean").isNull(), 0).otherwise(prior), F.lit(1)) / STEP).cast("int"))  # noqa: E731  one row a language
