@@ -25,7 +25,7 @@ from kvloom.llm import filters, shared
 from kvloom.llm import text as T
 from kvloom.llm.tokens import DICTIONARY_BLOCK, spans
 
-ORDER = 4
+ORDER = 5
 BEFORE, AFTER = "\x02", "\x03"
 #: Characters that an n-gram never seen is spread over.
 ALPHABET = 65536

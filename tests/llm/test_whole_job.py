@@ -78,3 +78,7 @@ def test_repeated_and_misplaced_words_are_rejected(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")
     got = {x["doc_id"]: x["kept"] for x in perplexity.classify(docs, labels).collect()}
     assert [got[i] for i in range(60)] == [True] * 60 and [got[60 + i] for i in range(3)] == [False] * 3
+
+
+def test_order_of_the_classifier():
+    assert perplexity.ORDER >= 5  # four characters saturate: too little of the corpus goes into the model
