@@ -31,7 +31,7 @@ BEFORE, AFTER = "\x02", "\x03"
 ALPHABET = 65536
 #: Share of a language's trusted documents that must pass, and how far above that point the limit stands. A short text is drawn to its language's mean by PRIOR characters.
 QUANTILE = 0.999
-MARGIN = 1.5
+MARGIN = 1.05
 PRIOR = 100
 #: Perplexities fall into steps of this in their logarithm, for exact quantiles from bounded histograms.
 STEP = 0.001

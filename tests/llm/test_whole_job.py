@@ -82,3 +82,12 @@ def test_repeated_and_misplaced_words_are_rejected(spark):
 
 def test_order_of_the_classifier():
     assert perplexity.ORDER >= 5  # four characters saturate: too little of the corpus goes into the model
+
+
+def test_threshold_is_near_the_quantile(spark):
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["stone", "river", "of", "old", "the"]) for _ in range(r.randrange(20, 90))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = perplexity.classify(docs, labels).collect()
+    assert max(x["perplexity"] for x in got) <= got[0]["threshold"] <= 1.06 * max(x["perplexity"] for x in got)
