@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from kvloom.llm import perplexity
+from kvloom.llm import licenses, perplexity
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -91,3 +91,26 @@ def test_threshold_is_near_the_quantile(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     got = perplexity.classify(docs, labels).collect()
     assert max(x["perplexity"] for x in got) <= got[0]["threshold"] <= 1.06 * max(x["perplexity"] for x in got)
+
+
+def every_notice(text):
+    """Notices that stand word for word: the longest at any place first, then what is left."""
+    words, names = [w for w in map(licenses.normal, text.split()) if w], {n: [w for w in map(licenses.normal, t.split()) if w] for n, t in licenses.NOTICES.items()}
+    out = Counter()
+    for name, notice in sorted(names.items(), key=lambda x: (-len(x[1]), x[0])):
+        for i in range(len(words) - len(notice) + 1):
+            if words[i : i + len(notice)] == notice:
+                out[name] += 1
+                words[i : i + len(notice)] = [""] * len(notice)
+    return out
+
+
+def test_notices_beside_near_misses():
+    scanner, r = licenses.Scanner(licenses.NOTICES), random.Random(7)
+    filler = lambda n: " ".join(r.choice(["plain", "words", "stand", "here"]) for _ in range(n))
+    n = licenses.NOTICES
+    miss = [n["LGPL-3.0"].replace("3", "2.1"), n["GPL-3.0"].replace("3", "1"), n["AGPL-3.0"].replace("3", "2"), "Licensed under CC BY-NC 3.0.", "Licensed under CC BY-SA 2.0.", "Licensed under the Apache License, Version 1.1."]
+    texts = [f"{miss[0]} {filler(19)} {n['MIT']} {filler(19)}", f"{miss[1]} {filler(19)} {n['MIT']} {filler(19)}", f"{miss[0]} {miss[1]} {miss[2]} {n['CC0-1.0']}"]
+    texts += [" ".join(x for _ in range(r.randrange(1, 5)) for x in (r.choice(miss + list(n.values())), filler(r.randrange(0, 25)))) for _ in range(150)]
+    for t in texts:
+        assert Counter(x[0] for x in scanner.scan(t)[1]) == every_notice(t), t
