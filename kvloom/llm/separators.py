@@ -24,6 +24,8 @@ from kvloom.llm.tokens import DICTIONARY_BLOCK, word_ids
 BLOCK_BYTES = 1 << 17
 #: Blocks that are summed together before sums of a file are scanned.
 SUPER = 1024
+#: Stands in a file for an end id that a text itself gives (a literal end marker), so that it is no separator; no id of a vocabulary.
+INNER = 0xFFFF
 BLOCKS = "file string, block long, data binary"
 FOUND = "file string, block long, n_ids long, ends array<int>"
 
@@ -44,8 +46,11 @@ def read_flat(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) ->
 def write_flat(docs: DataFrame, path: str, end_id: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """Documents as flat token files, one for each task, in blocks of the shared folder: (blocks, order).
 
-    order (file, number, doc_id) says which document is which, for results; the scan doesn't read it.
+    order (file, number, doc_id) says which document is which, for results; the scan doesn't read it. An end id within a text is
+    written as INNER, one id for one.
     """
+    if not 0 <= end_id < INNER:
+        raise ValueError("the end id must be below INNER")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = f"{TaskContext.get().partitionId():08d}"
@@ -54,7 +59,9 @@ def write_flat(docs: DataFrame, path: str, end_id: int, block_bytes: int = BLOCK
         for batch in batches:
             for b in T.blocks(batch.column(1), DICTIONARY_BLOCK):
                 ids, offsets = encoder.block(b)
-                stream = np.insert(ids.astype("<u2"), offsets[1:], end_id)
+                if len(ids) and ids.max() >= INNER:
+                    raise ValueError("ids of INNER or more don't fit a file of two bytes an id")
+                stream = np.insert(np.where(ids == end_id, INNER, ids).astype("<u2"), offsets[1:], end_id)
                 left = np.concatenate((left, stream))
                 full = len(left) // (block_bytes // 2)
                 data = [left[i * (block_bytes // 2) : (i + 1) * (block_bytes // 2)].tobytes() for i in range(full)]

@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from kvloom.llm import licenses, perplexity
+from kvloom.llm import licenses, perplexity, separators
+from kvloom.llm.queries import tokenizer
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -114,3 +115,15 @@ def test_notices_beside_near_misses():
     texts += [" ".join(x for _ in range(r.randrange(1, 5)) for x in (r.choice(miss + list(n.values())), filler(r.randrange(0, 25)))) for _ in range(150)]
     for t in texts:
         assert Counter(x[0] for x in scanner.scan(t)[1]) == every_notice(t), t
+
+
+def test_end_markers_within_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["a b c", "abc <|endoftext|> def", "one two", "<|endoftext|>", "x<|endoftext|><|endoftext|>y z", "", "the last of them"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {x["doc_id"]: x["n_tokens"] for x in separators.counts_of_documents(docs, path, 49407).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    assert t.get_vocab_size() <= separators.INNER
