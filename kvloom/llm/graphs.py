@@ -17,6 +17,13 @@ def components(links: DataFrame) -> DataFrame:
     longest path. Minima are combined before they are shuffled, and a node with many neighbours is joined in parts where the
     session lets joins split. Each round is written to the shared folder.
     """
+    with shared.scratch():
+        edges = shared.written(_stars(links), "stars", keep=True)
+    return edges.select(F.col("v").alias("node"), F.col("u").alias("label")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """(v, u): each node but the least of its component under the least."""
     edges = shared.written(links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
     state = None
     for _ in range(ROUNDS):
@@ -34,4 +41,4 @@ def components(links: DataFrame) -> DataFrame:
         state = now
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("label")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
+    return edges

@@ -1,4 +1,4 @@
-"""Near duplicates by DartMinHash signatures of five-word shingles.
+"""Near duplicates by DartMinHash signatures of five-word shingles, weighted by how often a text says them.
 
 Darts fall on the plane weight x rank of each element, one a unit of area on average, at places that a hash of the element fixes.
 An element of weight w is hit by the darts below w. Each dart belongs to one of SIZE coordinates, and a coordinate keeps the
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from kvloom.llm import filters, shared
 from kvloom.llm import text as T
 from kvloom.llm.graphs import components
-from kvloom.llm.substrings import text_keys
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -104,6 +103,7 @@ def _earliest(elements: np.ndarray, owner: np.ndarray, reach: np.ndarray, size:
 
 
 BASE_DART = U(0xE7037ED1A0B428DB)
+AGAIN = U(0x8EBC6AF09C88C6E3)
 
 
 def bands(signature: np.ndarray, count: int, rows: int) -> np.ndarray:
@@ -124,31 +124,41 @@ def shingles(b: T.Block, hashes: np.ndarray, size: int = SHINGLE) -> tuple[np.nd
     whole = doc[: len(found)] == doc[size - 1 :] if len(found) else np.zeros(0, bool)
     counts = np.diff(b.words)
     short = np.flatnonzero((counts > 0) & (counts < size))
-    key, _ = text_keys(b, hashes)
-    return np.concatenate((found[whole], key[short].view(U))), np.concatenate((doc[: len(found)][whole], short))
+    key = T.sequence_hashes(hashes, b.words)
+    return np.concatenate((found[whole], key[short])), np.concatenate((doc[: len(found)][whole], short))
+
+
+def weighted(elements: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (element, owner), by owner and element, and how often each occurs."""
+    order = np.lexsort((elements, owner))
+    elements, owner = elements[order], owner[order]
+    new = np.ones(len(elements), bool)
+    new[1:] = (elements[1:] != elements[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    return elements[first], owner[first], np.diff(np.append(first, len(elements)))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for b in T.blocks(batch.column(1)):
             hashes = b.hashes()
-            key, key2 = text_keys(b, hashes)
-            elements, owner = shingles(b, hashes)
-            found = bands(signatures(elements, owner, b.n), BANDS, ROWS)
+            key, key2 = b.keys(hashes)
+            elements, owner, times = weighted(*shingles(b, hashes))
+            found = bands(signatures(elements, owner, b.n, weights=times.astype(np.float64)), BANDS, ROWS)
             lists = pa.ListArray.from_arrays(np.arange(b.n + 1, dtype=np.int32) * BANDS, found.ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n).cast(pa.int64()), pa.array(np.diff(b.words)), pa.array(key), pa.array(key2), lists], names=["doc_id", "n_words", "key", "key2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted sets as plain ones: the second, third, ... time that a text says a shingle are elements of their own, so common elements of two sets are sums of least weights."""
     for batch in batches:
         for b in T.blocks(batch.column(1)):
-            elements, owner = shingles(b, b.hashes())
-            order = np.lexsort((elements, owner))
-            elements, owner = elements[order], owner[order]
-            new = np.ones(len(elements), bool)
-            new[1:] = (elements[1:] != elements[:-1]) | (owner[1:] != owner[:-1])
-            edges = np.searchsorted(owner[new], np.arange(b.n + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n).cast(pa.int64()), pa.ListArray.from_arrays(edges, elements[new].view(np.int64))], names=["doc_id", "shingles"])
+            elements, owner, times = weighted(*shingles(b, b.hashes()))
+            again = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            every, owner = np.repeat(elements, times), np.repeat(owner, times)
+            every = np.where(again > 0, T.mix(every + AGAIN * again.astype(U)), every)
+            edges = np.searchsorted(owner, np.arange(b.n + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.n).cast(pa.int64()), pa.ListArray.from_arrays(edges, every.view(np.int64))], names=["doc_id", "shingles"])
 
 
 def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
@@ -195,7 +205,7 @@ def _may(size: str, rest: str, size2: str, rest2: str, similarity: float) -> Col
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least `similarity`."""
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least `similarity`. Joins are of two tables each, so the session can split that of a hub."""
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -207,20 +217,28 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of documents: doc_id, class_id.
 
-    Texts are linked if they have the same words in the same order or if a band joins them and their sets of five-word shingles
-    have a Jaccard similarity of at least `similarity`; a class is what links connect, named by its least doc_id. A pair at
-    0.8 shares a band with a chance of 0.99996. Texts without words (null, empty, white space) are classes of their own, as are
-    rows with a null doc_id, whose class_id is null. Rows that share a doc_id are one document. Other columns are not read.
+    Texts are linked if they have the same words in the same order or if a band joins them and their sets of five-word shingles,
+    weighted by how often a text says each, have a Jaccard similarity (sum of least weights over sum of greatest) of at least
+    `similarity`; a class is what links connect, named by its least doc_id. A pair at 0.8 shares a band with a chance of 0.99996.
+    Texts without words (null, empty, white space) are classes of their own, as are rows with a null doc_id, whose class_id is
+    null. Rows that share a doc_id are one document. Other columns are not read, whatever their names. An empty table gives no
+    rows. A very long text is read whole, in a block of its own.
 
     Copies are set to their first document before anything else. In each band every text is compared with the band's first.
     Texts of bands that are then still of several classes are joined on their rarest shingles, of which two similar texts
     must share one; pairs of different classes are compared. No link is lost in that step, and texts that one common passage joins don't meet.
     """
     docs = docs.select("doc_id", "text")
-    known = docs.filter(F.col("doc_id").isNotNull())
+    with shared.scratch():
+        by_doc = shared.written(_classes(docs.filter(F.col("doc_id").isNotNull()), similarity), "classes", keep=True)
+    return docs.select("doc_id").join(by_doc, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _classes(known: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, class_id) of documents (doc_id, text) with words."""
     signed = shared.written(known.mapInArrow(_sign, SIGNED), "signatures").filter("n_words > 0")
-    owners = signed.groupBy("key", "key2").agg(F.min("doc_id").alias("owner"))
-    texts = shared.written(signed.select("doc_id", "key", "key2").distinct().join(owners, ["key", "key2"]).select("doc_id", "owner"), "owners")
+    owners = shared.written(signed.groupBy("key", "key2").agg(F.min("doc_id").alias("owner")), "owners")
+    texts = shared.written(signed.select("doc_id", "key", "key2").distinct().join(owners, ["key", "key2"]).select("doc_id", "owner"), "texts")
     firsts = texts.filter("doc_id = owner").select("doc_id").distinct()
 
     rows = signed.join(firsts, "doc_id", "left_semi").select(F.explode("bands").alias("band"), "doc_id").distinct()
@@ -246,12 +264,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             links = links.unionByName(more)
             labels = components(links)
 
-    first_of = texts.join(labels, texts["owner"] == labels["node"], "left").select("doc_id", "owner", F.coalesce("label", "owner").alias("class_id"))
-    by_doc = first_of.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return docs.select("doc_id").join(by_doc, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    first_of = texts.join(labels, texts["owner"] == labels["node"], "left").select("doc_id", F.coalesce("label", "owner").alias("class_id"))
+    return first_of.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose document is the first of its class, with all their columns. Rows with a null doc_id stay."""
-    classes = near_duplicates(docs, similarity).filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    return docs.join(classes.withColumnRenamed("doc_id", "later"), F.col("doc_id") == F.col("later"), "left_anti")
+    """The rows of docs whose document is the first of its class, with all their columns, whatever their names. Rows with a null doc_id stay."""
+    later = shared.fresh(docs.columns, "later")
+    classes = near_duplicates(docs, similarity).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias(later)).distinct()
+    return docs.join(classes, docs["doc_id"] == classes[later], "left_anti")

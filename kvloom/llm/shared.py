@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,17 +23,67 @@ def folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a table of the shared folder: it is computed once, and lost executors don't take it along."""
+class _Open(threading.local):
+    """Paths of tables that this thread's open scratch() blocks have written, the innermost block last."""
+
+    def __init__(self) -> None:
+        self.blocks: list[list[str]] = []
+
+
+_open = _Open()
+#: Shuffle files of a write are of no use once its table is there.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
+    """df as a table of the shared folder: it is computed once, and lost executors don't take it along.
+
+    The write's shuffle files go when it ends. Within scratch() the table goes with the block; with `keep` it outlives that block
+    and belongs to the next one around it, if there is one.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    within(path, keep)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files of a table that written() made."""
-    spark = df.sparkSession
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(name)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def within(path: str, keep: bool = False) -> None:
+    """The path belongs to the innermost scratch() block, or with `keep` to the one around it."""
+    if len(_open.blocks) > keep:
+        _open.blocks[-1 - keep].append(path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """A block whose tables are deleted at its end, also when it fails. What is returned must not read them: write it with `keep`."""
+    paths: list[str] = []
+    _open.blocks.append(paths)
+    try:
+        yield
+    finally:
+        _open.blocks.pop()
+        spark = SparkSession.getActiveSession()
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """A column name like `name` that is none of those taken, in any case of letters."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name

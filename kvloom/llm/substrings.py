@@ -30,19 +30,6 @@ RUN = 24
 SHARD_CONTEXTS = 2000
 SHARD_LIMIT = 512
 FIRST = "doc_id long, n_words long, key long, key2 long, anchors binary, places binary"
-SPREAD = np.uint64(0xA0761D6478BD642F)
-
-
-def text_keys(b: T.Block, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the word sequence of each document."""
-    inside = np.arange(len(hashes)) - np.repeat(b.words[:-1], np.diff(b.words))
-    powers = T._Powers.upto(int(inside.max()) + 1 if len(inside) else 1)
-    out = []
-    for h in (hashes, T.mix(hashes ^ SPREAD)):
-        # wrapping sums of uint64 subtract exactly
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers[inside], dtype=np.uint64)))
-        out.append(T.mix(total[b.words[1:]] - total[b.words[:-1]] + np.diff(b.words).astype(np.uint64)).view(np.int64))
-    return out[0], out[1]
 
 
 def anchor_places(hashes: np.ndarray, words: np.ndarray, window: int, run: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +131,7 @@ def _first(batches: Iterator[pa.RecordBatch], window: int, run: int) -> Iterator
     for batch in batches:
         for b in T.blocks(batch.column(1)):
             hashes = b.hashes()
-            key, key2 = text_keys(b, hashes)
+            key, key2 = b.keys(hashes)
             places, found = anchor_places(hashes, b.words, window, run)
             of = np.searchsorted(places, b.words)
             inside = (places - np.repeat(b.words[:-1], np.diff(of))).astype("<u4")
@@ -172,51 +159,61 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+OCCURRENCES = "anchor long, context long, context2 long, doc_id long, key long, first int, last int"
+
+
 def _occurrences(window: int, run: int):
-    """Of each document with shared anchors (doc_id, key, text, shared) the context of each: anchor, digest, extent."""
+    """Of each document with shared anchors (doc_id, text, list) the context of each: anchor, two digests, extent."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for (doc, hashes), key, shared_here in _matching(batch):
-                places = np.array([s["place"] for s in shared_here], np.int64)
+            for doc, key, hashes, hashes2, own in _matching(batch):
+                places = np.array([s["place"] for s in own], np.int64)
                 first, last = contexts(len(hashes), places, window, run)
-                digest = [int(T.mix(_digest(hashes[x:y])).view(np.int64)[0]) for x, y in zip(first, last, strict=True)]
                 n = len(places)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s["anchor"] for s in shared_here], pa.int64()), pa.array(digest, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                    names=["anchor", "context", "doc_id", "key", "first", "last"],
-                )
+                columns = [
+                    pa.array([s["anchor"] for s in own], pa.int64()), pa.array(_digests(hashes, first, last, 0)), pa.array(_digests(hashes2, first, last, 1)),
+                    pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in OCCURRENCES.split(", ")])
 
     return rows
 
 
-def _digest(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of a sequence of words."""
-    return (hashes * T._Powers.upto(len(hashes))[: len(hashes)]).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(hashes))
+def _digests(hashes: np.ndarray, first: np.ndarray, last: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of the stretches hashes[first:last], which may overlap and are not empty."""
+    lens = last - first
+    inside = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+    summed = np.add.reduceat(T.placed(hashes[inside + np.repeat(first, lens)], inside, seed), np.cumsum(lens) - lens) if len(lens) else np.zeros(0, np.uint64)
+    return T.mix(summed + T.mix(lens.astype(np.uint64))).view(np.int64)
 
 
 def _matching(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """((doc_id, word hashes), key, list) of rows (doc_id, text, list, ...) for the entries of the list whose key is the text's."""
+    """(doc_id, key, word hashes, second word hashes, entries) of rows (doc_id, text, list, ...), for the entries of the list whose key is the text's."""
     for b in T.blocks(batch.column("text")):
-        hashes = b.hashes()
-        keys, _ = text_keys(b, hashes)
+        hashes, hashes2 = b.hashes(), b.hashes(1)
+        keys = T.sequence_hashes(hashes, b.words).view(np.int64)
         ids = batch.column("doc_id").slice(b.first, b.n).to_pylist()
         lists = batch.column("list").slice(b.first, b.n).to_pylist()
         for i in range(b.n):
             own = [s for s in lists[i] or () if s["key"] == keys[i]]
             if own:
-                yield (ids[i], hashes[b.words[i] : b.words[i + 1]]), int(keys[i]), own
+                yield ids[i], int(keys[i]), hashes[b.words[i] : b.words[i + 1]], hashes2[b.words[i] : b.words[i + 1]], own
+
+
+WORDS = "shard long, doc_id long, key long, first int, words binary, words2 binary"
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word hashes of the contexts that a shard asks for; the second ones only where windows are compared by hash."""
     for batch in batches:
-        for (doc, hashes), key, own in _matching(batch):
+        for doc, key, hashes, hashes2, own in _matching(batch):
             n = len(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s["shard"] for s in own], pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()),
-                 pa.array([s["first"] for s in own], pa.int32()), pa.array([hashes[s["first"] : s["last"]].tobytes() for s in own], pa.binary())],
-                names=["shard", "doc_id", "key", "first", "words"],
-            )
+            columns = [
+                pa.array([s["shard"] for s in own], pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array([s["first"] for s in own], pa.int32()),
+                pa.array([hashes[s["first"] : s["last"]].tobytes() for s in own], pa.binary()), pa.array([hashes2[s["first"] : s["last"]].tobytes() if s["shard"] < 0 else b"" for s in own], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in WORDS.split(", ")])
 
 
 def _match(window: int):
@@ -236,13 +233,17 @@ def _match(window: int):
     return shard
 
 
+WINDOWS = "window long, window2 long, doc_id long, key long, first int"
+
+
 def _windows(window: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, key, first, words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "first", "words")), strict=True):
-                found = T.windows(np.frombuffer(words, np.uint64), window).view(np.int64)
+            for doc, key, first, *words in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "first", "words", "words2")), strict=True):
+                found, found2 = (T.windows(np.frombuffer(w, np.uint64), window).view(np.int64) for w in words)
                 n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(first + np.arange(n, dtype=np.int32))], names=["window", "doc_id", "key", "first"])
+                columns = [pa.array(found), pa.array(found2), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(first + np.arange(n, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in WINDOWS.split(", ")])
 
     return rows
 
@@ -251,17 +252,25 @@ RANGES = "doc_id long, key long, first int, last int"
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """(doc_id, key, first, last): word ranges of a text, named by doc_id and key, that lie under windows of a smaller doc_id. They may overlap."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, key, first, last): word ranges of a text, named by doc_id and key, that lie under windows of a smaller doc_id. They may overlap.
+
+    Texts, contexts and windows are equal if two independent 64-bit hashes of their words are. Least ids are tables of their own
+    before rows are joined to them, so that the session can split the join of a key that many rows have.
+    """
+    with shared.scratch():
+        return shared.written(_ranges(docs.select("doc_id", "text"), window, run), "ranges", keep=True)
+
+
+def _ranges(docs: DataFrame, window: int, run: int) -> DataFrame:
     known = docs.filter(F.col("doc_id").isNotNull())
     first = shared.written(known.mapInArrow(lambda batches: _first(batches, window, run), FIRST), "anchors")
     long = first.filter(F.col("n_words") >= window)
-    owners = long.groupBy("key", "key2").agg(F.min("doc_id").alias("owner"))
-    texts = long.select("doc_id", "key", "key2", "n_words").join(owners, ["key", "key2"])
-    copies = texts.filter(F.col("doc_id") > F.col("owner")).select("doc_id", "key", F.lit(0).alias("first"), F.col("n_words").cast("int").alias("last"))
+    owners = long.groupBy("key", "key2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last_owner"))
+    owners = shared.written(owners.filter("owner < last_owner").drop("last_owner"), "owners")
+    copies = long.select("doc_id", "key", "key2", "n_words").join(owners, ["key", "key2"]).filter(F.col("doc_id") > F.col("owner"))
+    copies = shared.written(copies.select("doc_id", "key", F.lit(0).alias("first"), F.col("n_words").cast("int").alias("last")), "copies")
 
-    originals = texts.filter(F.col("doc_id") == F.col("owner")).select("doc_id", "key").distinct()
-    anchors = long.join(originals, ["doc_id", "key"], "left_semi").select("doc_id", "key", "anchors", "places").dropDuplicates(["doc_id", "key"]).mapInArrow(_explode, ANCHOR_ROWS)
+    anchors = long.join(copies, ["doc_id", "key"], "left_anti").select("doc_id", "key", "anchors", "places").dropDuplicates(["doc_id", "key"]).mapInArrow(_explode, ANCHOR_ROWS)
     anchors = shared.written(anchors, "anchor-rows")
     meet = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
     meet = shared.written(meet, "meeting")
@@ -270,11 +279,10 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
     chosen = filters.passes(known, "doc_id", filters.of(by_doc, "doc_id")).join(by_doc, "doc_id")
     chosen = shared.written(chosen.select("doc_id", "text", "list"), "near-texts")
 
-    seen = shared.written(chosen.mapInArrow(_occurrences(window, run), "anchor long, context long, doc_id long, key long, first int, last int"), "contexts")
-    seen = seen.dropDuplicates()
-    kinds = seen.groupBy("anchor", "context").agg(F.min("doc_id").alias("owner"))
+    seen = shared.written(chosen.mapInArrow(_occurrences(window, run), OCCURRENCES).dropDuplicates(), "contexts")
+    kinds = shared.written(seen.groupBy("anchor", "context", "context2").agg(F.min("doc_id").alias("owner")), "kinds")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    of_owner = seen.join(kinds, ["anchor", "context"])
+    of_owner = seen.join(kinds, ["anchor", "context", "context2"])
     copied = of_owner.filter((F.col("doc_id") > F.col("owner")) & (F.col("last") - F.col("first") >= window)).select("doc_id", "key", "first", "last")
 
     n_shards = max(1, kinds.count() // SHARD_CONTEXTS)
@@ -282,13 +290,14 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
     # one row for each context that differs from another with its anchor: the first place in its first document
     to_match = of_owner.filter(F.col("doc_id") == F.col("owner")).join(several, "anchor").withColumn("shard", shard.cast("long"))
     wanted = to_match.groupBy("doc_id").agg(F.collect_set(F.struct("key", "shard", "first", "last")).alias("list"))
-    words = chosen.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(_wanted, "shard long, doc_id long, key long, first int, words binary")
+    words = chosen.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(_wanted, WORDS)
     words = shared.written(words, "words")
 
-    matched = words.filter("shard >= 0").groupBy("shard").applyInPandas(_match(window), RANGES)
-    wide = words.filter("shard < 0").select("doc_id", "key", "first", "words").mapInArrow(_windows(window), "window long, doc_id long, key long, first int").dropDuplicates()
-    earliest = wide.groupBy("window").agg(F.min("doc_id").alias("owner"))
-    hot = wide.join(earliest, "window").filter(F.col("owner") < F.col("doc_id")).select("doc_id", "key", "first", (F.col("first") + window).alias("last"))
+    matched = words.filter("shard >= 0").select("shard", "doc_id", "key", "first", "words").groupBy("shard").applyInPandas(_match(window), RANGES)
+    wide = shared.written(words.filter("shard < 0").select("doc_id", "key", "first", "words", "words2").mapInArrow(_windows(window), WINDOWS).dropDuplicates(), "windows")
+    earliest = wide.groupBy("window", "window2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last_owner"))
+    earliest = shared.written(earliest.filter("owner < last_owner").drop("last_owner"), "earliest")
+    hot = wide.join(earliest, ["window", "window2"]).filter(F.col("owner") < F.col("doc_id")).select("doc_id", "key", "first", (F.col("first") + window).alias("last"))
     return copies.unionByName(copied).unionByName(matched).unionByName(hot)
 
 
@@ -296,7 +305,7 @@ def _without(batches: Iterator[pa.RecordBatch], others: list[str], rejoin: bool)
     """Rows (text, list, others...) to (others..., n_words, n_removed, kept)."""
     for batch in batches:
         for b in T.blocks(batch.column("text")):
-            keys, _ = text_keys(b, b.hashes())
+            keys = T.sequence_hashes(b.hashes(), b.words).view(np.int64)
             gone = np.zeros(len(b.starts) + 1, np.int64)
             for i, ranges in enumerate(batch.column("list").slice(b.first, b.n).to_pylist()):
                 for r in ranges or ():

@@ -32,33 +32,51 @@ def series(n: int, seed: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U64) + U64(seed << 32)) * U64(0x9E3779B97F4A7C15))
 
 
-BYTE = series(256, 1)
 BASE = U64(0xD6E8FEB86659FD93)
+#: Bytes that count in the last eight of a span, by how many are left.
+LEFT = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 
 
-class _Powers:
-    """BASE to the power i, for as far as was asked."""
+class _Places:
+    """Well spread values for places 0, 1, 2, ..., for as far as was asked; each seed has its own."""
 
-    table = np.ones(1, U64)
+    tables: dict[int, np.ndarray] = {}
 
     @classmethod
-    def upto(cls, n: int) -> np.ndarray:
-        if len(cls.table) < n:
-            grown = np.full(max(n, 2 * len(cls.table), 4096), BASE)
-            grown[0] = 1
-            cls.table = np.cumprod(grown, dtype=U64)
-        return cls.table
+    def upto(cls, n: int, seed: int) -> np.ndarray:
+        table = cls.tables.get(seed)
+        if table is None or len(table) < n:
+            table = cls.tables[seed] = series(max(n, 4096), 11 + seed)
+        return table
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span, the same wherever a span stands. Spans are sorted, disjoint and not empty."""
+def placed(values: np.ndarray, places: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Values mixed with their places. Sums of these stand for sequences: no pattern of values cancels out, as it can with powers of a base."""
+    return mix(values ^ _Places.upto(int(places.max()) + 1 if len(places) else 1, seed)[places])
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of each span, the same wherever a span stands. Spans are not empty. Seeds give independent hashes."""
     if not len(starts):
         return np.zeros(0, U64)
     lens = ends - starts
-    first = np.cumsum(lens) - lens
-    inside = np.arange(int(lens.sum())) - np.repeat(first, lens)
-    product = BYTE[buf[inside + np.repeat(starts, lens)]] * _Powers.upto(int(lens.max()))[inside]
-    return mix(np.add.reduceat(product, first) + lens.astype(U64))
+    eights = (lens + 7) >> 3
+    first = np.cumsum(eights) - eights
+    inside = np.arange(int(eights.sum())) - np.repeat(first, eights)
+    bytes_ = np.concatenate((buf, np.zeros(8, np.uint8)))
+    at_any = np.ndarray((len(buf) + 1,), "<u8", bytes_, strides=(1,))
+    value = at_any[np.repeat(starts, eights) + 8 * inside]
+    value &= LEFT[np.minimum(np.repeat(lens, eights) - 8 * inside, 8)]
+    return mix(np.add.reduceat(placed(value, inside, seed), first) + mix(lens.astype(U64)))
+
+
+def sequence_hashes(hashes: np.ndarray, edges: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each run hashes[edges[i]:edges[i + 1]] of a sequence; an empty run has one too."""
+    lens = np.diff(edges)
+    inside = np.arange(len(hashes)) - np.repeat(edges[:-1] - edges[0], lens)
+    # wrapping sums of 64-bit values subtract exactly
+    total = np.concatenate((np.zeros(1, U64), np.cumsum(placed(hashes, inside, seed), dtype=U64)))
+    return mix(total[edges[1:] - edges[0]] - total[edges[:-1] - edges[0]] + mix(lens.astype(U64)))
 
 
 @dataclass
@@ -80,8 +98,14 @@ class Block:
         """Of each word."""
         return np.repeat(np.arange(self.n), np.diff(self.words))
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.buf, self.starts, self.ends)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """Of each word."""
+        return span_hashes(self.buf, self.starts, self.ends, seed)
+
+    def keys(self, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent 64-bit hashes of the word sequence of each document; `hashes` are those of the words, where they are known."""
+        first = self.hashes() if hashes is None else hashes
+        return sequence_hashes(first, self.words).view(np.int64), sequence_hashes(self.hashes(1), self.words, 1).view(np.int64)
 
     def per_doc(self, weights: np.ndarray) -> np.ndarray:
         """Sums over each document of something known for each byte."""

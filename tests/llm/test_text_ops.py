@@ -235,7 +235,7 @@ def classes(texts, similarity):
     for i, t in enumerate(texts):
         w = WORDS.findall(t or "")
         if w:
-            sets[i] = (w, {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)})
+            sets[i] = (w, Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) or Counter([tuple(w)]))
     top = {i: i for i in range(len(texts))}
 
     def find(x):
@@ -245,7 +245,7 @@ def classes(texts, similarity):
 
     for i in sets:
         for j in sets:
-            if i < j and (sets[i][0] == sets[j][0] or len(sets[i][1] & sets[j][1]) >= similarity * len(sets[i][1] | sets[j][1]) - 1e-9):
+            if i < j and (sets[i][0] == sets[j][0] or (sets[i][1] & sets[j][1]).total() >= similarity * (sets[i][1] | sets[j][1]).total() - 1e-9):
                 a, b = sorted((find(i), find(j)))
                 top[b] = a
     return {i * 3: find(i) * 3 for i in top}
