@@ -1,13 +1,13 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests, with DataFrame and SQL functions only.
 
 A paragraph here is what stands between line ends and ends of sentences; a text is the set of the 64-bit digests of its paragraphs.
-A sketch has cells of (count, xor of digests, xor of checks); a digest goes to one cell in each of three rows. The sketch of one
-version minus that of another holds just what differs, and peeling finds it: a cell with count 1 or -1 whose check fits its digest
-gives a digest, which is taken from its three cells, until nothing is left. If cells are left, the sketch was too small: the same
-is done again with rows four times as long and other places, up to LEVELS.
+A sketch has CELLS cells of (count, xor of digests, xor of checks); a digest goes to one cell in each of ROWS rows. The fingerprint
+is that sketch of the whole text. The sketch of one version minus that of another holds just what differs, and peeling recovers it:
+a cell with count 1 or -1 whose check fits its digest gives a digest, which is taken from its cells, until nothing is left.
 
-Large sets are dealt by digest to parts of some PART digests, so each sketch that is peeled stays small and a long text is many
-small rows. The fingerprint is the sum of the parts, folded to rows of FOLD cells: it doesn't depend on the number of parts.
+If cells are left, the sketch was too small, and a larger one is made of both versions: digests are dealt by their bits to SPLIT
+parts with a sketch each, which are subtracted and peeled in turn. Only parts that fail again are split further, so the work
+follows the size of the difference.
 """
 
 from __future__ import annotations
@@ -16,86 +16,131 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PART = 4
-FOLD_BITS = 2
-#: Bits of a cell's place in its row, and the seed of the places, at each try.
-LEVELS = ((3, 101), (5, 202), (7, 303))
-CHECK = 99
-#: Stands for a null doc_id in joins; no document may have it.
-NO_ID = -(1 << 63)
-#: Where one paragraph ends and the next begins.
+from kvloom.llm import shared
+
+#: Bits of a cell's place in its row, rows, and bits that say to which part of the next larger sketch a digest goes.
+PLACE_BITS, ROWS, SPLIT_BITS = 2, 3, 3
+WIDTH, SPLIT = 1 << PLACE_BITS, 1 << SPLIT_BITS
+CELLS = ROWS * WIDTH
+#: Tries, each with sketches SPLIT times as large; the last has 2^45 parts, so only digests that agree in as many bits fail there.
+TRIES = 16
+#: Seeds of checks, places and parts.
+CHECK, PLACES, PARTS = 99, 101, 7
+#: Where one paragraph ends and the next begins, and what a paragraph must hold.
 BREAK = r"(?<=[.!?])[ \t\r]+|\n+"
+HOLDS = r"[^\x20\x09-\x0D]"
 
 
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs of a text that hold more than white space."""
-    parts = F.filter(F.split(text, BREAK), lambda p: F.length(F.trim(p)) > 0)
+    parts = F.filter(F.split(text, BREAK), lambda p: p.rlike(HOLDS))
     return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
-def _cells(items: str, bits: int, seed: int) -> str:
-    """Cells of signed items (array of (s, k)) that are not zero: (i, n, k, c)."""
-    width = 1 << bits
-    placed = f"transform({items}, x -> named_struct('s', x.s, 'k', x.k, 'c', xxhash64(x.k, {CHECK}), 'h', xxhash64(x.k, {seed})))"
-    rows = ", ".join(
-        f"transform(sequence(0, {width - 1}), i -> aggregate(filter(p, x -> (shiftrightunsigned(x.h, {bits * j}) & {width - 1}) = i), "
-        f"named_struct('i', i + {j * width}, 'n', 0, 'k', 0L, 'c', 0L), (a, x) -> named_struct('i', a.i, 'n', a.n + x.s, 'k', a.k ^ x.k, 'c', a.c ^ x.c)))"
-        for j in range(3)
-    )
-    return f"get(transform(array({placed}), p -> concat({rows})), 0)"
-
-
-def _peeled(cells: str, bits: int, seed: int) -> str:
-    """(left, p, m): the cells that stay after peeling, and how many digests had count 1 and -1."""
-    width = 1 << bits
-    place = [f"cast(shiftrightunsigned(xxhash64(q.k, {seed}), {bits * j}) & {width - 1} as int) + {j * width}" for j in range(3)]
-    pure = f"get(filter(a.left, c -> abs(c.n) = 1 AND xxhash64(c.k, {CHECK}) = c.c), 0)"
-    found = f"transform(array({pure}), q -> if(q IS NULL, NULL, named_struct('n', q.n, 'k', q.k, 'c', q.c, 'x', {place[0]}, 'y', {place[1]}, 'z', {place[2]})))"
-    taken = "transform(a.left, c -> if(c.i = q.x OR c.i = q.y OR c.i = q.z, named_struct('i', c.i, 'n', c.n - q.n, 'k', c.k ^ q.k, 'c', c.c ^ q.c), c))"
-    step = (
-        f"get(transform({found}, q -> if(q IS NULL, named_struct('left', a.left, 'p', a.p, 'm', a.m, 'done', true), "
-        f"named_struct('left', filter({taken}, c -> c.n <> 0 OR c.k <> 0L OR c.c <> 0L), 'p', a.p + if(q.n > 0, 1, 0), 'm', a.m + if(q.n < 0, 1, 0), 'done', false))), 0)"
-    )
-    nonzero = f"filter({cells}, c -> c.n <> 0 OR c.k <> 0L OR c.c <> 0L)"
-    return f"get(transform(array({nonzero}), z -> aggregate(sequence(0, size(z)), named_struct('left', z, 'p', 0, 'm', 0, 'done', false), (a, t) -> if(a.done, a, {step}))), 0)"
+def let(name: str, value: str, body: str) -> str:
+    """SQL of body, in which the name stands for the value, computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def difference(items: str) -> str:
-    """SQL of (p, m): how many digests of signed items are in the first set alone and in the second alone, by sketch and peeling.
+def _items(keys: str) -> str:
+    """Digests with their checks, places and parts."""
+    return f"transform({keys}, k -> named_struct('k', k, 'c', xxhash64(k, {CHECK}), 'h', xxhash64(k, {PLACES}), 'g', xxhash64(k, {PARTS})))"
 
-    A try that leaves cells is followed by a larger one; what no level peels (less than one part in a million) is counted from the items.
-    """
-    out = f"named_struct('p', size(filter({items}, x -> x.s = 1 AND NOT exists({items}, y -> y.s = -1 AND y.k = x.k))), 'm', size(filter({items}, x -> x.s = -1 AND NOT exists({items}, y -> y.s = 1 AND y.k = x.k))))"
-    for bits, seed in reversed(LEVELS):
-        out = f"get(transform(array({_peeled(_cells(items, bits, seed), bits, seed)}), r -> if(size(r.left) = 0, named_struct('p', r.p, 'm', r.m), {out})), 0)"
-    return out
-
-
-def _folded(items: str) -> str:
-    return _cells(items, FOLD_BITS, LEVELS[0][1])
 
+def _place(h: str, level: str, row: int) -> str:
+    return f"cast(shiftrightunsigned({h}, {PLACE_BITS * ROWS} * ({level} % 10) + {PLACE_BITS * row}) & {WIDTH - 1} as int)"
 
-def _print(parts: str) -> str:
-    """Hexadecimal text of the cells of all parts added up: count, digest, check of each cell."""
-    cells = 3 << FOLD_BITS
-    add = f"aggregate({parts}, transform(sequence(1, {cells}), i -> named_struct('n', 0, 'k', 0L, 'c', 0L)), (a, p) -> zip_with(a, p, (u, v) -> named_struct('n', u.n + v.n, 'k', u.k ^ v.k, 'c', u.c ^ v.c)))"
-    return f"array_join(transform({add}, c -> concat(lpad(hex(c.n), 4, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.c), 16, '0'))), '')"
 
+def sketch(items: str, level: str = "0") -> str:
+    """Cells (n, k, c) of items, row after row; each level (SQL of a number) has places of its own."""
+    rows = [
+        f"transform(sequence(0, {WIDTH - 1}), i -> aggregate(filter({items}, x -> {_place('x.h', level, row)} = i), "
+        "named_struct('n', 0, 'k', 0L, 'c', 0L), (a, x) -> named_struct('n', a.n + 1, 'k', a.k ^ x.k, 'c', a.c ^ x.c)))"
+        for row in range(ROWS)
+    ]
+    return f"concat({', '.join(rows)})"
 
-def likeness(first: Column, second: Column, only_first: Column) -> Column:
-    """Common digests as a share of all; 1 where neither text has any."""
-    every = second + only_first
-    return F.when(every == 0, 1.0).otherwise((first - only_first) / every).cast("double")
 
+def subtracted(first: str, second: str) -> str:
+    """Cells of one sketch minus those of another, with their places; empty cells are left out."""
+    minus = f"zip_with({first}, {second}, (u, v) -> named_struct('n', u.n - v.n, 'k', u.k ^ v.k, 'c', u.c ^ v.c))"
+    placed = f"transform({minus}, (c, i) -> named_struct('i', i, 'n', c.n, 'k', c.k, 'c', c.c))"
+    return f"filter({placed}, c -> c.n <> 0 OR c.k <> 0L OR c.c <> 0L)"
 
-def following(ids: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, next_id) for distinct ids: the next larger one, after the last the first.
 
-    Ids fall into at most `parts` ranges; only the least id of each range meets in one place (the driver, `parts` numbers).
+def peeled(cells: str, level: str = "0") -> str:
+    """(left, p, m): the cells that stay after peeling, and the digests recovered with count 1 and -1."""
+    pure = f"get(filter(a.left, c -> abs(c.n) = 1 AND xxhash64(c.k, {CHECK}) = c.c), 0)"
+    places = ", ".join(f"'{name}', {_place(f'xxhash64(q.k, {PLACES})', level, row)} + {row * WIDTH}" for row, name in enumerate("xyz"))
+    found = f"transform(array({pure}), q -> if(q IS NULL, NULL, named_struct('n', q.n, 'k', q.k, 'c', q.c, {places})))"
+    taken = (
+        "filter(transform(a.left, c -> if(c.i = q.x OR c.i = q.y OR c.i = q.z, "
+        "named_struct('i', c.i, 'n', c.n - q.n, 'k', c.k ^ q.k, 'c', c.c ^ q.c), c)), c -> c.n <> 0 OR c.k <> 0L OR c.c <> 0L)"
+    )
+    more = "named_struct('left', {0}, 'p', if(q.n > 0, concat(a.p, array(q.k)), a.p), 'm', if(q.n < 0, concat(a.m, array(q.k)), a.m), 'done', false)"
+    step = f"get(transform({found}, q -> if(q IS NULL, named_struct('left', a.left, 'p', a.p, 'm', a.m, 'done', true), {more.format(taken)})), 0)"
+    none = "cast(array() as array<bigint>)"
+    start = f"named_struct('left', z, 'p', {none}, 'm', {none}, 'done', false)"
+    return let("z", cells, f"aggregate(sequence(0, size(z)), {start}, (a, t) -> if(a.done, a, {step}))")
+
+
+def difference(first: str, second: str) -> str:
+    """SQL of (p, m), the digests of items in the first set alone and in the second alone: recovered from the difference of two
+    sketches, which are made larger until peeling leaves nothing."""
+    one = peeled(subtracted(sketch("v.a", "level"), sketch("v.b", "level")), "level")
+    tried = let("r", one, "named_struct('failed', size(r.left) > 0, 'a', v.a, 'b', v.b, 'p', r.p, 'm', r.m)")
+    here = lambda side: f"filter(y.{side}, x -> (shiftrightunsigned(x.g, {SPLIT_BITS} * level) & {SPLIT - 1}) = t)"
+    parts = f"transform(sequence(0, {SPLIT - 1}), t -> named_struct('a', {here('a')}, 'b', {here('b')}))"
+    todo = f"flatten(transform(filter(done, y -> y.failed), y -> {parts}))"
+    got = lambda side: f"concat(s.{side}, flatten(transform(filter(done, y -> NOT y.failed), y -> y.{side})))"
+    step = let("done", f"transform(s.todo, v -> {tried})", f"named_struct('todo', {todo}, 'p', {got('p')}, 'm', {got('m')})")
+    none = "cast(array() as array<bigint>)"
+    start = f"named_struct('todo', array(named_struct('a', {first}, 'b', {second})), 'p', {none}, 'm', {none})"
+    end = "if(size(s.todo) = 0, named_struct('p', s.p, 'm', s.m), raise_error('paragraph digests agree in too many bits'))"
+    return f"aggregate(sequence(0, {TRIES - 1}), {start}, (s, level) -> if(size(s.todo) = 0, s, {step}), s -> {end})"
+
+
+def printed(cells: str) -> str:
+    """Hexadecimal text of a sketch: count, digest and check of each cell."""
+    return f"array_join(transform({cells}, c -> concat(lpad(hex(c.n), 8, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.c), 16, '0'))), '')"
+
+
+def parsed(fingerprint: str) -> str:
+    """The cells of a fingerprint."""
+    value = lambda at, n, kind: f"cast(conv(substring({fingerprint}, 40 * i + {at}, {n}), 16, -10) as {kind})"
+    return f"transform(sequence(0, {CELLS - 1}), i -> named_struct('n', {value(1, 8, 'int')}, 'k', {value(9, 16, 'bigint')}, 'c', {value(25, 16, 'bigint')}))"
+
+
+def differing(first: str, second: str) -> Column:
+    """(p, m) of two fingerprint columns: the digests that one text alone has and that the other alone has, from the fingerprints
+    and nothing else. Null if they differ by more than a sketch of that size can tell."""
+    both = peeled(subtracted(parsed(first), parsed(second)))
+    return F.expr(let("r", both, "if(size(r.left) = 0, named_struct('p', r.p, 'm', r.m), NULL)"))
+
+
+def compare(versions: DataFrame, first: str, second: str, third: str) -> DataFrame:
+    """versions with three columns of arrays of digests replaced by: fingerprint, edited_fingerprint (sketches of the first and the
+    second), near_edited and near_next (likeness of the first to the second and to the third). Rows are worked on where they are."""
+    names = {"a": first, "b": second, "c": third}
+    items = ", ".join(f"'{n}', {_items(column)}" for n, column in names.items())
+    sketches = ", ".join(f"'{n}', {sketch(f'v.{n}')}" for n in names)
+    total = lambda n: f"aggregate(slice(s.{n}, 1, {WIDTH}), 0, (x, c) -> x + c.n)"  # noqa: E731  each row of a sketch counts every digest
+    # common digests as a share of all; 1 where neither text has any
+    share = lambda n, d: let("e", f"{total(n)} + size({d}.p)", f"if(e = 0, 1D, ({total('a')} - size({d}.p)) / e)")
+    out = f"named_struct('f', {printed('s.a')}, 'e', {printed('s.b')}, 'ne', {share('b', 'd')}, 'nn', {share('c', 'n')})"
+    worked = let("v", f"named_struct({items})", let("s", f"named_struct({sketches})", let("d", difference("v.a", "v.b"), let("n", difference("v.a", "v.c"), out))))
+    done = shared.fresh(versions.columns, "worked")
+    kept = [c for c in versions.columns if c not in names.values()]
+    fields = {"f": "fingerprint", "e": "edited_fingerprint", "ne": "near_edited", "nn": "near_next"}
+    return versions.select(*kept, F.expr(worked).alias(done)).select(*kept, *[F.col(f"{done}.{f}").alias(name) for f, name in fields.items()])
+
+
+def following(ids: DataFrame) -> DataFrame:
+    """(doc_id, next_id) for distinct ids that are not null: the next larger one, after the last the first.
+
+    Ids are dealt to ranges; only the least id of each range meets in one place (the driver, a number a partition).
     """
-    cuts = sorted({int(c) for c in ids.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    block = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda e: e < F.col("doc_id"))) if cuts else F.lit(0)
-    ranged = ids.select("doc_id", block.alias("block"))
+    ranged = shared.written(ids.repartitionByRange("doc_id").select("doc_id", F.spark_partition_id().alias("block")), "ranges")
     least = sorted((r["block"], r["least"]) for r in ranged.groupBy("block").agg(F.min("doc_id").alias("least")).collect())
     after = {b: least[(i + 1) % len(least)][1] for i, (b, _) in enumerate(least)}
     beyond = F.create_map(*[F.lit(x) for b, n in after.items() for x in (b, n)]) if after else F.create_map(F.lit(0), F.lit(0))
@@ -103,43 +148,6 @@ def following(ids: DataFrame, parts: int) -> DataFrame:
     return ranged.select("doc_id", F.coalesce(inside, beyond[F.col("block")]).cast("long").alias("next_id"))
 
 
-def _sided(column: str, side: int) -> Column:
-    return F.transform(column, lambda k: F.struct(F.lit(side).alias("side"), k.alias("k")))
-
-
-def compare(pairs: DataFrame) -> DataFrame:
-    """pairs(key, first, second, third, ...) of arrays of digests to the other columns, fingerprints of first and second, near_edited, near_next.
-
-    Rows are told apart by a number, so repeated rows stay. Where pairs is dealt by key, nothing is shuffled.
-    """
-    kept = [c for c in pairs.columns if c not in ("key", "first", "second", "third")]
-    n = [F.size(c) for c in ("first", "second", "third")]
-    parts = F.greatest(F.lit(1), F.ceil((n[0] + n[1] + n[2]) / (3 * PART))).cast("int")
-    rows = pairs.select("key", *kept, "first", "second", "third", F.monotonically_increasing_id().alias("row"), parts.alias("parts"))
-    sided = F.concat(*[_sided(c, i) for i, c in enumerate(("first", "second", "third"))])
-    head = F.struct(*kept)
-    # the first element of each row carries the row's own columns, once, and keeps rows without paragraphs
-    every = F.concat(F.array(F.struct(F.lit(9).alias("side"), F.lit(0).cast("long").alias("k"))), sided)
-    items = rows.select("key", "row", "parts", head.alias("head"), F.explode(every).alias("x"))
-    items = items.select("key", "row", F.when(F.col("x.side") == 9, 0).otherwise(F.pmod(F.xxhash64("x.k", F.lit(7)), F.col("parts"))).cast("int").alias("part"), "x", F.when(F.col("x.side") == 9, F.col("head")).alias("head"))
-    grouped = items.groupBy("key", "row", "part").agg(F.collect_list("x").alias("x"), F.max("head").alias("head"))
-    signed = "transform(filter(x, i -> i.side = 0 OR i.side = {0}), i -> named_struct('s', if(i.side = 0, 1, -1), 'k', i.k))"
-    only = "transform(filter(x, i -> i.side = {0}), i -> named_struct('s', 1, 'k', i.k))"
-    count = "size(filter(x, i -> i.side = {0}))"
-    work = grouped.select(
-        "key", "row", "head", *[F.expr(count.format(i)).alias(f"n{i}") for i in range(3)],
-        F.expr(signed.format(1)).alias("s1"), F.expr(signed.format(2)).alias("s2"), F.expr(only.format(0)).alias("o0"), F.expr(only.format(1)).alias("o1"),
-    )
-    done = work.select("key", "row", "head", "n0", "n1", "n2", F.expr(difference("s1")).alias("d1"), F.expr(difference("s2")).alias("d2"), F.expr(_folded("o0")).alias("f0"), F.expr(_folded("o1")).alias("f1"))
-    by_row = done.groupBy("key", "row").agg(
-        F.max("head").alias("head"), *[F.sum(f"n{i}").alias(f"n{i}") for i in range(3)], F.sum("d1.p").alias("p1"), F.sum("d2.p").alias("p2"), F.collect_list("f0").alias("f0"), F.collect_list("f1").alias("f1")
-    )
-    return by_row.select(
-        "head.*", F.expr(_print("f0")).alias("fingerprint"), F.expr(_print("f1")).alias("edited_fingerprint"),
-        likeness(F.col("n0"), F.col("n1"), F.col("p1")).alias("near_edited"), likeness(F.col("n0"), F.col("n2"), F.col("p2")).alias("near_next"),
-    )
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """One row for each row of documents: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -147,19 +155,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     doc_id, after the last by those of the first. near_* is the share of common paragraphs, as peeling the difference of two
     sketches finds it. A null text is an empty one, with a fingerprint of zeros; two texts without paragraphs are alike (1).
     Rows that share a doc_id have the same next document; where that has several rows, the greatest text counts. A row with a
-    null doc_id has nothing after it: its edited text ends in nothing. Other columns are not read. Equal texts have equal fingerprints.
+    null doc_id has nothing after it: its edited text ends in nothing, and it is compared with an empty text. Other columns are
+    not read, whatever their names. Equal texts have equal fingerprints. An empty table gives no rows. A very long text is one
+    row throughout, with work in proportion to its paragraphs.
     """
-    spark = docs.sparkSession
-    # both uses of the texts read the same columns in the same way, so they share one shuffle; a null id has a key of its own
-    texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sizes = docs.select("doc_id", F.coalesce(F.floor(F.char_length("text") / 2), F.lit(0)).alias("need")).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("need").alias("need"))
-    order = following(sizes.select("doc_id"), parts).join(sizes, "doc_id").select(F.col("doc_id").alias("before"), F.coalesce("next_id", "doc_id").alias("next_id"), "need")
-    given = texts.join(order, texts["key"] == order["next_id"]).select("before", F.expr("left(text, cast(need as int))").alias("lead"), digests(F.col("text")).alias("third"))
+    # both uses of the texts read the same columns in the same way, so they share one shuffle
+    texts = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    need = F.floor(F.char_length("text") / 2)
+    sizes = texts.groupBy("doc_id").agg(F.max(need).alias("need"))
+    order = following(sizes.select("doc_id")).join(sizes, "doc_id").select(F.col("doc_id").alias("before"), "next_id", "need")
+    given = texts.join(order, texts["doc_id"] == order["next_id"]).select("before", F.expr("left(text, cast(need as int))").alias("lead"), digests(F.col("text")).alias("third"))
     given = given.groupBy("before").agg(F.max(F.struct("lead", "third")).alias("g")).select("before", "g.*")
-    both = texts.join(given, texts["key"] == given["before"], "left")
+    both = texts.join(given, texts["doc_id"] == given["before"], "left").drop("before")
+    nowhere = docs.filter(F.col("doc_id").isNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = both.unionByName(nowhere, allowMissingColumns=True)
     half = "cast(floor(char_length(text) / 2) as int)"
     edited = F.expr(f"concat(left(text, char_length(text) - {half}), left(coalesce(lead, ''), {half}))")
-    doc_id = F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id")
-    pairs = both.select("key", doc_id, F.char_length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), digests(F.col("text")).alias("first"), digests(edited).alias("second"), F.coalesce("third", F.array().cast("array<long>")).alias("third"))
-    return compare(pairs)
+    versions = both.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"), "third").select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        digests(F.col("text")).alias("first"), digests(F.col("edited")).alias("second"), F.coalesce("third", F.array().cast("array<long>")).alias("third"),
+    )
+    return compare(versions, "first", "second", "third")
