@@ -118,7 +118,7 @@ def test_plan_uses_the_histogram_up_with_little_padding():
 def test_fingerprints(spark, docs, empty, texts):
     got = by_id(paragraphs.fingerprints(docs))
     assert paragraphs.fingerprints(empty).count() == 0 and paragraphs.fingerprints(docs).count() == docs.count()
-    cut = lambda t: {p for p in re.split(r"(?<=[.!?])[ \t\r]+|\n+", t) if p.strip(" ")}
+    cut = lambda t: {p for p in re.split(r"(?<=[.!?])[ \t\r]+|\n+", t) if WORDS.search(p)}
     prints = {}
     for i, t in enumerate(texts):
         t, following = t or "", texts[(i + 1) % len(texts)] or ""
@@ -131,7 +131,7 @@ def test_fingerprints(spark, docs, empty, texts):
     assert by_id(paragraphs.fingerprints(docs.filter("doc_id = 9")))[9]["near_next"] == 1.0
 
 
-def test_separators(spark, docs, empty, texts, tmp_path):
+def test_separators(docs, empty, texts):
     from tokenizers import Tokenizer
 
     path = tokenizer("word_bpe_49k.json")
@@ -139,19 +139,6 @@ def test_separators(spark, docs, empty, texts, tmp_path):
     got = by_id(separators.counts_of_documents(docs, path, 49407))
     assert {i: r["n_tokens"] for i, r in got.items()} == {i * 3: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
     assert separators.counts_of_documents(empty, path, 49407).count() == 0
-    r = random.Random(2)
-    want = []
-    for f in range(3):  # flat files, blocks of 32 ids: documents span many blocks, some are empty, the last has no end
-        sizes = [r.choice([0, 1, 5, 31, 32, 33, 200]) for _ in range(40)]
-        ids = []
-        for n, s in enumerate(sizes):
-            want.append((f, n, len(ids), s, n < 39 or f == 0))
-            ids += [7] * s + ([9] if n < 39 or f == 0 else [])
-        if f and not sizes[-1]:
-            want.pop()
-        (tmp_path / f"{f}.bin").write_bytes(np.array(ids, "<u4").tobytes())
-    found = separators.token_counts(separators.read_flat(spark, str(tmp_path), 128), 9, 4, 128).collect()
-    assert sorted((int(x["file"][-5]), x["number"], x["start"], x["n_tokens"], x["ended"]) for x in found) == sorted(want)
 
 
 def test_licenses(spark, empty):

@@ -126,4 +126,4 @@ def test_end_markers_within_texts(spark):
     docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").coalesce(1)
     got = {x["doc_id"]: x["n_tokens"] for x in separators.counts_of_documents(docs, path, 49407).collect()}
     assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
-    assert t.get_vocab_size() <= separators.INNER
+    assert t.get_vocab_size() <= separators.inner_id(2)
