@@ -2,6 +2,7 @@
 
 Setters return a changed copy. As in the engine this one replaces, a value out of range leaves the option as it was.
 Options that only tune a single-file writer (queue, buffers, pre-allocation) are accepted and kept, and have no effect here.
+Compression works on pages of values, so its threshold has a meaning only in the single-file layout (rawlog).
 """
 
 from __future__ import annotations
@@ -37,7 +38,11 @@ class Options:
     cms_eps: float = 0.01
     cms_depth: int = 7
     wal: bool = False
+    wal_async: bool = False
+    wal_interval_s: float = 0.1
     wal_buffer: int = 4 << 20
+    maintenance: bool = True
+    report_interval_s: float = 60.0
     call_timeout_s: float = 5.0
     logger: logging.Logger = field(default_factory=lambda: logging.getLogger("kvloom"))
     executor: Any = None
@@ -101,5 +106,13 @@ class Options:
     def with_wal_buffer(self, n: int) -> Options:
         return self._if(n > 0, wal_buffer=n)
 
+    def with_wal_async(self, on: bool, interval_s: float = 0.1) -> Options:
+        """Writes return before the write-ahead log has them; it is written every interval_s, and once it holds wal_buffer bytes."""
+        return replace(self, wal_async=on)._if(interval_s > 0, wal_interval_s=interval_s)
+
+    def with_maintenance(self, on: bool, report_interval_s: float = 60.0) -> Options:
+        """Whether open() starts compaction checks and reports in the background."""
+        return replace(self, maintenance=on)._if(report_interval_s > 0, report_interval_s=report_interval_s)
+
     def with_wal_disabled(self, off: bool) -> Options:
         return replace(self, wal=not off)

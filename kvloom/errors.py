@@ -23,3 +23,7 @@ class NoHandler(StoreError, LookupError):
 
 class HandlerTimeout(StoreError, TimeoutError):
     """A handler did not answer in time."""
+
+
+class PublishRefused(StoreError):
+    """A publish hook refused the payload."""

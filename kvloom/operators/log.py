@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,23 +43,24 @@ def wal_record_length() -> Column:
     return (F.lit(WAL_HEADER) + F.octet_length("full_key") + F.coalesce(F.octet_length("value"), F.lit(0))).cast("long")
 
 
-def running_start(df: DataFrame, order: str, length: str, out: str, blocks: int | None = None) -> DataFrame:
+#: Values of `order` in a block, and blocks that are summed together, as bits.
+BLOCK_BITS, GROUP_BITS = 16, 16
+
+
+def running_start(df: DataFrame, order: str, length: str, out: str) -> DataFrame:
     """Adds the sum of `length` over all rows with a smaller `order`: the offset of each record in a file.
 
-    Rows fall into ranges of `order`; each range is summed on its own, and only one total per range meets in one place,
-    so no single task sees the whole log. `order` must be unique; rows where it is null are refused by the schema.
+    `order` is a whole number, unique but for ties, which are put in any order, and not null. So a block of 2^16 values of it has
+    no more rows than that; totals of blocks are summed by groups of 2^16 blocks, and only totals of groups meet in one place.
+    Nothing runs while the plan is made.
     """
-    spark = df.sparkSession
-    blocks = blocks or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = df.stat.approxQuantile(order, [i / blocks for i in range(1, blocks)], 0.5 / blocks)
-    cuts = sorted({int(c) for c in cuts})
-    block = F.lit(0)
-    if cuts:
-        edges = F.array(*[F.lit(c).cast("long") for c in cuts])
-        block = F.size(F.filter(edges, lambda e: e < F.col(order)))
+    block = F.shiftright(F.col(order).cast("long"), BLOCK_BITS)
     parts = df.withColumn("_block", block)
-    totals = parts.groupBy("_block").agg(F.sum(length).alias("_total"))
-    bases = totals.select("_block", (F.sum("_total").over(Window.orderBy("_block")) - F.col("_total")).alias("_base"))
+    totals = parts.groupBy("_block").agg(F.sum(length).alias("_total")).withColumn("_group", F.shiftright("_block", GROUP_BITS))
+    groups = totals.groupBy("_group").agg(F.sum("_total").alias("_sum"))
+    groups = groups.select("_group", (F.sum("_sum").over(Window.orderBy("_group")) - F.col("_sum")).alias("_before"))
+    in_group = F.sum("_total").over(Window.partitionBy("_group").orderBy("_block")) - F.col("_total")
+    bases = totals.withColumn("_base", in_group).join(groups, "_group").select("_block", (F.col("_base") + F.col("_before")).alias("_base"))
     inside = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         parts.withColumn("_inside", F.sum(length).over(inside) - F.col(length))
@@ -67,15 +70,35 @@ def running_start(df: DataFrame, order: str, length: str, out: str, blocks: int
     )
 
 
+#: Parts that a stored log is dealt to by the first component of its keys.
+PARTS = 64
+
+
+def part() -> Column:
+    """The part of a key: of what stands before its first NUL, or of nothing. All keys under a bucket's prefix have one part."""
+    at = "locate('\\u0000', decode(full_key, 'ISO-8859-1'))"
+    root = F.expr(f"if({at} > 0, substring(full_key, 1, {at} - 1), cast('' as binary))")
+    return F.pmod(F.crc32(root), F.lit(PARTS)).cast("int")
+
+
+def part_of(key: bytes) -> int:
+    """As part(), of a key or of a bucket's prefix."""
+    root, found, _ = key.partition(b"\0")
+    return zlib.crc32(root if found else b"") % PARTS
+
+
 def truncate(log: DataFrame, size: int) -> DataFrame:
     """The records that lie wholly before byte `size`."""
     placed = running_start(log.withColumn("_len", record_length()), "seq", "_len", "_offset")
     return placed.filter(F.col("_offset") + F.col("_len") <= size).select(*log.columns)
 
 
-def record_at(log: DataFrame, offset: int) -> DataFrame:
-    """The record that starts at a byte offset, or none."""
-    return running_start(log.withColumn("_len", record_length()), "seq", "_len", "_offset").filter(F.col("_offset") == offset).select(*log.columns)
+def record_at(log: DataFrame, offset: int | DataFrame) -> DataFrame:
+    """The record that starts at a byte offset, or none. The offset is a number, or a frame of one."""
+    placed = running_start(log.withColumn("_len", record_length()), "seq", "_len", "_offset")
+    if isinstance(offset, DataFrame):
+        return placed.join(F.broadcast(offset.toDF("_wanted")), F.col("_offset") == F.col("_wanted"), "left_semi").select(*log.columns)  # one row
+    return placed.filter(F.col("_offset") == offset).select(*log.columns)
 
 
 def shard_count(n: int) -> int:

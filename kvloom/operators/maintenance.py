@@ -19,5 +19,6 @@ def with_tail(base: DataFrame, tail: DataFrame) -> DataFrame:
 
 
 def replay(base: DataFrame, wal: DataFrame) -> DataFrame:
-    """State after recovery. Records that are in both logs have one seq and count once: the fold is idempotent."""
-    return latest(base.unionByName(wal))
+    """State after recovery. Records that are in both logs have one seq and count once."""
+    new = wal.join(base.select("full_key", "seq"), ["full_key", "seq"], "left_anti")
+    return latest(base.unionByName(new.select(*base.columns)))

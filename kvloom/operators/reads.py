@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.operators.fold import latest
+from kvloom.operators.fold import latest, live_keys
 
 
 def qualify(bucket: str, key: bytes) -> bytes:
@@ -17,7 +17,7 @@ def prefix_of(bucket: str) -> bytes:
 
 
 def in_bucket(bucket: str) -> Column:
-    """Keys under the bucket's byte prefix. A plain name also prunes on the bucket column where no other name can hold the prefix."""
+    """Keys under the bucket's byte prefix, which other buckets' names may hold too."""
     return F.lit(True) if bucket == "" else F.startswith(F.col("full_key"), F.lit(prefix_of(bucket)))
 
 
@@ -43,9 +43,14 @@ def multi_get(probes: DataFrame, log: DataFrame) -> DataFrame:
     return probes.join(latest(log.join(keys, "full_key", "left_semi")).select("full_key", "value"), "full_key", "left")
 
 
+def _live_probes(probes: DataFrame, log: DataFrame) -> DataFrame:
+    """Probed keys that are live: the log is cut down to them first, and values are not read."""
+    return live_keys(log.join(probes.select("full_key").distinct(), "full_key", "left_semi"))
+
+
 def has(probes: DataFrame, log: DataFrame) -> DataFrame:
-    return probes.join(latest(log).select("full_key"), "full_key", "left_semi")
+    return probes.join(_live_probes(probes, log), "full_key", "left_semi")
 
 
 def missing(probes: DataFrame, log: DataFrame) -> DataFrame:
-    return probes.join(latest(log).select("full_key"), "full_key", "left_anti")
+    return probes.join(_live_probes(probes, log), "full_key", "left_anti")

@@ -103,10 +103,24 @@ def _positions(key: Column, m: int, k: int) -> Column:
     return F.array(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(m)) for i in range(k)])
 
 
-def bloom_test(probes: DataFrame, bits: DataFrame, items: int = 1_000_000, fpr: float = 0.01, key: str = "full_key") -> DataFrame:
-    """probes with `maybe`: false only for keys that were never added."""
+#: Filters of up to so many bits (16 MB) go to the executors; larger ones are joined in a shuffle.
+BROADCAST_BITS = 1 << 27
+
+
+def bloom_test(probes: DataFrame, bits: DataFrame, items: int = 1_000_000, fpr: float = 0.01, key: str = "full_key", keep: tuple[str, ...] = ()) -> DataFrame:
+    """probes (the key, and columns to keep) with `maybe`: false only for keys that were never added. A filter of bounded size is tested row by row, so probes don't move."""
     m, k = bloom_size(items, fpr)
+    set_here = lambda bit, word: F.expr(f"coalesce(shiftrightunsigned({word}, cast({bit} & 63 as int)) & 1L, 0L) = 1L")
+    if m <= BROADCAST_BITS:
+        p = probes.select(F.col(key), *keep, _positions(F.col(key), m, k).alias("_bits"))
+        for i in range(k):
+            words = bits.select(F.col("word").alias(f"_word{i}"), F.col("bits").alias(f"_set{i}"))
+            p = p.join(F.broadcast(words), F.shiftrightunsigned(F.col("_bits")[i], 6) == F.col(f"_word{i}"), "left")
+        every = set_here("_bits[0]", "_set0")
+        for i in range(1, k):
+            every = every & set_here(f"_bits[{i}]", f"_set{i}")
+        return p.select(key, *keep, every.alias("maybe"))
     p = probes.select(F.col(key)).distinct().select(key, F.explode(_positions(F.col(key), m, k)).alias("bit"))
     p = p.withColumn("word", F.shiftrightunsigned("bit", 6)).join(bits, "word", "left")
-    hit = F.expr("coalesce(shiftrightunsigned(bits, cast(bit & 63 as int)) & 1L, 0L)")
-    return p.groupBy(key).agg((F.min(hit) == 1).alias("maybe"))
+    found = p.groupBy(key).agg(F.min(set_here("bit", "bits").cast("int")).alias("all"))
+    return probes.select(F.col(key), *keep).join(found, key).select(key, *keep, (F.col("all") == 1).alias("maybe"))

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.operators.fold import last_records
+from kvloom.operators.fold import live_keys
 from kvloom.operators.log import record_length
 from kvloom.operators.sketches import bloom_fpr, hll, puts
 
 
 def num_keys(log: DataFrame) -> DataFrame:
-    keys = log.groupBy("full_key").agg(F.max_by("op", "seq").alias("op"))
-    return keys.filter(F.col("op") == "put").agg(F.count("*").alias("num_keys"))
+    return live_keys(log).agg(F.count("*").alias("num_keys"))
 
 
 def fragmentation(log: DataFrame) -> DataFrame:
     """Share of bytes that no live key needs. One exchange: bytes are summed beside the fold."""
-    by_key = log.withColumn("_len", record_length()).groupBy("full_key").agg(F.max_by(F.struct("op", "_len"), "seq").alias("r"), F.sum("_len").alias("total"))
-    live = F.coalesce(F.sum(F.when(F.col("r.op") == "put", F.col("r._len"))), F.lit(0))
-    total = F.coalesce(F.sum("total"), F.lit(0))
+    by_key = log.withColumn("_len", record_length()).groupBy("full_key").agg(
+        F.max_by(F.when(F.col("op") == "put", F.col("_len")).otherwise(0), "seq").alias("live"), F.sum("_len").alias("total")
+    )
+    live, total = F.coalesce(F.sum("live"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))
     return by_key.agg(total.alias("total_bytes"), live.alias("live_bytes")).select(
         "total_bytes", "live_bytes", F.when(F.col("total_bytes") > 0, 1 - F.col("live_bytes") / F.col("total_bytes")).otherwise(0.0).alias("fragmentation")
     )
@@ -34,14 +34,12 @@ def bloom_stats(log: DataFrame, items: int = 1_000_000, fpr: float = 0.01) -> Da
 def stats(log: DataFrame, precision: int = 14, items: int = 1_000_000, fpr: float = 0.01) -> DataFrame:
     """num_keys, logical_offset, bloom_insertions, bloom_fpr, estimated_keys in one pass over the folded keys."""
     by_key = log.withColumn("_len", record_length()).groupBy("full_key").agg(
-        F.max_by("op", "seq").alias("op"), F.sum("_len").alias("bytes"), F.count_if(F.col("op") == "put").alias("puts")
+        F.max_by(F.col("op") == "put", "seq").alias("live"), F.sum("_len").alias("bytes"), F.count_if(F.col("op") == "put").alias("puts")
     )
     ever = F.when(F.col("puts") > 0, F.col("full_key"))
     row = by_key.withColumn("ever", ever).agg(
-        F.count_if(F.col("op") == "put").alias("num_keys"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("logical_offset"),
+        F.count_if("live").alias("num_keys"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("logical_offset"),
         (2 * F.coalesce(F.sum("puts"), F.lit(0))).alias("bloom_insertions"), F.coalesce(F.hll_sketch_estimate(hll("ever", precision)), F.lit(0)).alias("estimated_keys"),
     )
     return row.withColumn("bloom_fpr", bloom_fpr(F.col("bloom_insertions"), items, fpr))
 
-
-__all__ = ["bloom_stats", "fragmentation", "last_records", "num_keys", "stats"]

@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Where it is unset (tests on one machine), a temporary folder of this machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="kvloom-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -47,3 +60,9 @@ def delete(spark: SparkSession, path: str) -> None:
 def bytes_under(spark: SparkSession, path: str) -> int:
     p, fs = _path(spark, path)
     return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder."""
+    p, fs = _path(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []

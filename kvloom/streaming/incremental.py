@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from kvloom.operators.fold import last_records, latest
+from kvloom.operators.log import KVLOG
+from kvloom.sources import files
 
-def streaming_last(log: DataFrame) -> DataFrame:
-    """Last record of each key as a streaming aggregate; tombstones stay in the state so that a late put can't revive a key."""
-    return log.groupBy("full_key").agg(F.max_by(F.struct("bucket", "user_key", "op", "value"), F.col("seq")).alias("r"), F.max("seq").alias("seq"))
 
+def fold_available(log: DataFrame, folder: str) -> DataFrame:
+    """The state after all input that is there, for catch-up runs; another run with the same folder goes on from there.
 
-def live(last: DataFrame) -> DataFrame:
-    return last.select("full_key", "r.*", "seq").filter(F.col("op") == "put").drop("op")
+    Each micro-batch leaves the last records of its keys, tombstones included, in a directory of its own, which a repeated batch
+    replaces. Folding these is the same as folding the stream. No state stays in memory, and nothing comes to the driver.
+    """
+    spark = log.sparkSession
+    state = f"{folder}/state"
 
+    def merge(batch: DataFrame, number: int) -> None:
+        last_records(batch).select(*KVLOG.names).write.mode("overwrite").parquet(f"{state}/batch={number}")
 
-def fold_available(log: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
-    """Runs the streaming fold over all input that is there and returns the state, for tests and one-off catch-up runs."""
-    writer = streaming_last(log).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    query = log.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    return live(log.sparkSession.table(name))
+    if not files.exists(spark, state):
+        return latest(spark.createDataFrame([], KVLOG))
+    return latest(spark.read.schema(KVLOG).option("basePath", state).parquet(state).select(*KVLOG.names))

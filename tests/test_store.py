@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import kvloom
-from kvloom import Closed, EmptyKey, HandlerTimeout, KeyNotFound, NoHandler, Options, StoreError, open_store
+from kvloom import Closed, EmptyKey, HandlerTimeout, KeyNotFound, NoHandler, Options, PublishRefused, StoreError, open_store
 from kvloom.functions.handlers import Handlers
 from kvloom.functions.hooks import Hooks, as_read, written
 from kvloom.operators import log as L
@@ -154,12 +154,13 @@ def test_raw_layout(spark, tmp_path):
 
 
 def test_offsets_of_many_ranges(spark):
-    df = spark.range(1000).select(F.col("id").alias("seq"), (F.col("id") % 7 + 1).cast("long").alias("n"))
+    place = lambda i: i * 50_000_021 - 3 * 10**9  # noqa: E731  many blocks, several groups of them, below and above 0
+    df = spark.range(1000).select((F.col("id") * 50_000_021 - 3 * 10**9).alias("seq"), (F.col("id") % 7 + 1).cast("long").alias("n"))
     total, want = 0, {}
     for i in range(1000):
-        want[i] = total
+        want[place(i)] = total
         total += i % 7 + 1
-    assert {r["seq"]: r["at"] for r in L.running_start(df, "seq", "n", "at", 9).collect()} == want
+    assert {r["seq"]: r["at"] for r in L.running_start(df, "seq", "n", "at").collect()} == want
     assert L.shard_count(0) == 64 and L.shard_count(60) == 64 and L.shard_count(65) == 128
 
 
@@ -183,7 +184,7 @@ def test_store_channels_are_apart(store):
     store.bucket("").subscribe("ch", lambda p: got.append(("empty", p)))
     store.bucket("b").subscribe("ch", lambda p: got.append(("b", p)))
     assert store.publish("ch", b"1") == 1 and store.bucket("").publish("ch", b"2") == 1 and store.bucket("b").publish("ch", b"3") == 1
-    assert got == [("db", b"1"), ("empty", b"2"), ("b", b"3")]
+    assert store.channels.drain(5) and sorted(got, key=lambda x: x[1]) == [("db", b"1"), ("empty", b"2"), ("b", b"3")]
 
 
 def test_handlers(store):
@@ -211,6 +212,173 @@ def test_hooks(spark):
     assert bytes(as_read(latest(out), Hooks(on_read=lambda v: F.concat(F.lit(b"r"), v))).first()["value"]) == b"rv!"
 
 
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_flush_keeps_rows_when_the_write_fails(store, monkeypatch):
+    b = store.bucket("t")
+    b.set(b"k", b"v")
+    with monkeypatch.context() as m:
+        m.setattr(type(store), "_write", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.flush()
+    assert b.get(b"k") == b"v"
+    store.flush()
+    assert store._buffer == [] and b.get(b"k") == b"v" and store.stats()["num_keys"] == 1
+
+
+def test_bulk_append_logs_every_record(spark, store):
+    store.bucket("b").set(b"first", b"0")
+    rows = [("b", bytearray(b"k%d" % (i % 10)), "put" if i % 10 != 3 or i < 90 else "del", bytearray(b"%d" % i), i - 50) for i in range(100)]
+    store.append(spark.createDataFrame(rows, "bucket string, user_key binary, op string, value binary, position long").repartition(5))
+    assert store.bucket("b").key_frequency(b"k1") == 10 and store.log().select("seq").distinct().count() == 101
+    assert store.bucket("b").get(b"k1") == b"91" and not store.bucket("b").has(b"k3")
+    store.bucket("b").set(b"k1", b"later")
+    store.flush()
+    assert store.bucket("b").get(b"k1") == b"later"
+    offsets = L.running_start(store.log().withColumn("n", L.record_length()), "seq", "n", "at").select("at").distinct().count()
+    assert offsets == store.log().count()
+    with pytest.raises(EmptyKey):
+        store.append(spark.createDataFrame([("b", bytearray(b""), "put", bytearray(b"v"), 1)], "bucket string, user_key binary, op string, value binary, position long"))
+
+
+def test_reads_go_to_one_part(store):
+    names = ["a", "a\0b", "c", "", "größe"]
+    for n in names:
+        store.bucket(n).batch_set([(b"k%d" % i, n.encode()) for i in range(5)])
+    store.flush()
+    for n in names:
+        assert store.bucket(n).get(b"k1") == n.encode()
+    assert len(store.bucket("a").get_all()) == 10 and len(store.bucket("a\0b").get_all()) == 5 and len(store.bucket("").get_all()) == 25
+    scan = plan(store.bucket("c").frame())
+    assert "PartitionFilters: [isnotnull(part" in scan and f"= {L.part_of(bytes('c', 'ascii') + bytes(1))})" in scan
+    one = plan(store._durable(b"c\0k1").filter(F.col("full_key") == F.lit(b"c\0k1")))
+    assert "PushedFilters: [" in one and "EqualTo(full_key" in one
+    for line in (plan(latest(store.log())), plan(L.running_start(store.log().withColumn("n", L.record_length()), "seq", "n", "at"))):
+        assert "SortAggregate" not in line
+
+
+def test_cache_of_values(spark, tmp_path):
+    s = open_store(spark, f"{tmp_path}/db", Options().with_cache_size(2))
+    b = s.bucket("t")
+    b.batch_set([(b"%d" % i, b"v") for i in range(4)])
+    s.flush()
+    for i in range(4):
+        assert b.get(b"%d" % i) == b"v"
+    assert s.stats()["cache_size"] == 2
+    b.set(b"3", b"w")
+    assert b.get(b"3") == b"w"
+    s.close()
+
+
+def test_old_versions_go(spark, tmp_path):
+    s = open_store(spark, f"{tmp_path}/db")
+    for i in range(3):
+        s.bucket("t").set(b"k", b"%d" % i)
+        assert s.compact()
+    assert len([p for p in (tmp_path / "db").iterdir() if p.name.startswith("v")]) == 2  # the one before lasts until close
+    s.close()
+    assert len([p for p in (tmp_path / "db").iterdir() if p.name.startswith("v")]) == 1
+    again = open_store(spark, f"{tmp_path}/db")
+    assert again.bucket("t").get(b"k") == b"2"
+    again.bucket("t").set(b"k2", b"x")
+    size = again.size()
+    again.truncate(size - 1)
+    assert not again.bucket("t").has(b"k2") and again.bucket("t").has(b"k")
+    again.close()
+
+
+@pytest.mark.parametrize("on, codec", [(True, "ZSTD"), (False, "UNCOMPRESSED")])
+def test_compression(spark, tmp_path, on, codec):
+    import pyarrow.parquet as pq
+
+    s = open_store(spark, f"{tmp_path}/db", Options().with_compression(on, 10, 5).with_wal_disabled(False))
+    seen = lambda part: {pq.ParquetFile(p).metadata.row_group(0).column(0).compression for p in (tmp_path / "db").glob(f"v*/{part}/**/*.parquet") if pq.ParquetFile(p).metadata.num_rows}
+    s.bucket("t").set(b"k", b"a" * 10_000)
+    assert seen("wal") == {codec}
+    s.flush()
+    s.compact()
+    assert seen("log") == {codec} and s.bucket("t").get(b"k") == b"a" * 10_000
+    s.close()
+
+
+def test_maintenance_begins_on_open(spark, tmp_path):
+    asked = []
+    s = open_store(spark, f"{tmp_path}/db", Options().with_scheduler(lambda seconds, run: asked.append((seconds, run))).with_health(lambda name, seconds, check: asked.append((name, check()))))
+    assert [a[0] for a in asked] == ["storage", 1800.0, 60.0] and asked[0][1]
+    s.bucket("t").set(b"k", b"v")
+    asked[2][1]()
+    assert asked[-1][0] == 60.0 and s._reported == s._seq
+    s.close()
+    n = len(asked)
+    asked[1][1]()
+    assert len(asked) == n
+    off = open_store(spark, f"{tmp_path}/db", Options().with_maintenance(False))
+    assert not off._timers
+    off.close()
+
+
+def test_wal_in_the_background(spark, tmp_path):
+    s = open_store(spark, f"{tmp_path}/db", Options().with_wal_disabled(False).with_wal_async(True, 0.05))
+    s.bucket("t").set(b"a", b"1")
+    s.bucket("t").set(b"b", b"2")
+    deadline = time.time() + 20
+    while s.wal.records().count() < 2 and time.time() < deadline:
+        time.sleep(0.1)
+    del s  # without close or flush
+    again = open_store(spark, f"{tmp_path}/db")
+    assert sorted(again.bucket("t").get_all()) == [(b"a", b"1"), (b"b", b"2")]
+    again.close()
+    w = Wal(spark, f"{tmp_path}/wal", interval_s=60)
+    w.write([(1, "t", bytearray(b"k"), bytearray(b"t\0k"), "put", bytearray(b"v"))])
+    assert w.size() == 0
+    w.close()
+    assert w.size() == 8 + 3 + 1
+    with pytest.raises(Closed):
+        w.write([])
+
+
+def test_subscription_hooks():
+    told, got = [], []
+    c = Channels(on_publish=lambda bucket, channel, p: p.upper() if p != b"no" else 1 / 0, on_subscribe=lambda *a: told.append(("on", *a)), on_unsubscribe=lambda *a: told.append(("off", *a)))
+    _, undo = c.subscribe("b", "ch", got.append)
+    c.subscribe("b", "ch", got.append)
+    assert c.publish("b", "ch", b"x") == 2 and got == [b"X", b"X"]
+    with pytest.raises(PublishRefused, match="publish hook"):
+        c.publish("b", "ch", b"no")
+    undo()
+    undo()
+    c.unsubscribe_all("b", "ch")
+    assert told == [("on", "b", "ch", 1), ("on", "b", "ch", 2), ("off", "b", "ch", 1), ("off", "b", "ch", 2)] and len(got) == 2
+
+
+def test_deliveries_run_in_the_pool(spark, tmp_path):
+    import threading
+
+    s = open_store(spark, f"{tmp_path}/db", Options().with_pool_size(3))
+    gate, seen = threading.Event(), []
+    for _ in range(3):
+        s.subscribe("ch", lambda p: (gate.wait(10), seen.append(threading.current_thread().name)))
+    assert s.publish("ch", b"x") == 3 and not seen  # publish does not wait for slow subscribers
+    gate.set()
+    assert s.channels.drain(10) and len(seen) == 3 and "MainThread" not in seen
+    s.close()
+
+
+def test_stream_fold_goes_on(spark, tmp_path):
+    from kvloom.streaming.incremental import fold_available
+
+    rows = lambda seqs: [(i, "b", bytearray(b"k%d" % (i % 4)), bytearray(b"b\0k%d" % (i % 4)), "del" if i % 5 == 0 else "put", None if i % 5 == 0 else bytearray(b"%d" % i)) for i in seqs]
+    (tmp_path / "in").mkdir()
+    log = spark.readStream.schema(L.KVLOG).parquet(f"{tmp_path}/in")
+    for seqs in (range(10), range(10, 26)):
+        spark.createDataFrame(rows(seqs), L.KVLOG).write.mode("append").parquet(f"{tmp_path}/in")
+        got = {bytes(r["user_key"]): bytes(r["value"]) for r in fold_available(log, f"{tmp_path}/fold").collect()}
+        want = {b"k%d" % (i % 4): None if i % 5 == 0 else b"%d" % i for i in range(seqs.stop)}
+        assert got == {k: v for k, v in want.items() if v is not None}
+
+
 def test_options():
     o = Options()
     assert o.with_shards(0) == o and o.with_cardinality(True, 3).precision == 14 and o.with_bloom(0, 2.0) == o
