@@ -8,6 +8,7 @@ others all are tried that could explain more words than the best place found, so
 from __future__ import annotations
 
 import difflib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -35,10 +36,23 @@ NOTICES = {
     "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
     "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
     "CC0-1.0": "Licensed under CC0 1.0.",
+    "GPL header warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "Apache-2.0 disclaimer": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "MIT conditions": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSD-3-Clause endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
-#: Every notice holds one of these; a text without any is not looked at.
-TELLING = r"(?i)licen[sc]e|redistribut|permission is hereby"
-#: Notices tried at once for each stretch, and the share of a notice's words that may differ; a notice of fewer than 20 words must stand word for word.
+#: Licenses that a file can name in one line of a fixed form.
+IDENTIFIERS = ("Apache-2.0", "MIT", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+NOTICES |= {f"{name} identifier": f"SPDX-License-Identifier: {name}" for name in IDENTIFIERS}
+#: Words that a short notice may have in another form or in one another's place; names and versions are never among them.
+LOOSE = ({"license", "licence", "licenses", "licences"}, {"licensed", "licenced", "released", "distributed", "published", "available", "provided"}, {"work", "program", "software", "project", "library", "code", "file", "document", "text"}, {"version", "v", "ver"})
+#: A text without any of these, or of the longest words of notices that hold none of them, is not looked at.
+TELLING = r"(?i)licen[sc]e|redistribut|permission|warrant|unencumbered"
+#: Notices tried at once for each stretch, and the share of a notice's words that may differ; of a notice of fewer than 20 words only LOOSE ones may.
 TRIED = 4
 SLACK = 0.05
 SCHEMA = "doc_id long, n_blocks long, n_found long, licenses string, spans array<struct<license: string, first: int, last: int, n_differences: int>>"
@@ -46,6 +60,12 @@ _SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 _worker: dict = {}
 
 
+def telling(notices: dict[str, str]) -> str:
+    """Pattern of which every notice holds a match, in one word."""
+    more = {max(text.split(), key=len) for text in notices.values() if not re.search(TELLING, text)}
+    return "|".join([TELLING, *(re.escape(normal(w)) for w in sorted(more))])
+
+
 def normal(word: str) -> str:
     return word.casefold().strip(".,;:!?()[]{}\"'“”‘’")
 
@@ -55,18 +75,20 @@ class Scanner:
         import zstandard
 
         self.words = {name: [w for w in map(normal, text.split()) if w] for name, text in notices.items()}
+        self.loose = {w: i for i, group in enumerate(LOOSE) for w in group}
+        self.sets = {name: set(words) for name, words in self.words.items()}
         self.longest = max(map(len, self.words.values()))
         self.plain = zstandard.ZstdCompressor(level=3)
         self.with_notice = {
             name: zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(" ".join(self.words[name]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for name in notices
         }
-        self.telling = re.compile(TELLING)
+        self.telling = re.compile(telling(notices))
 
     def blocks(self, words: list[str]) -> list[tuple[int, int]]:
         """Stretches of words around telling ones. Those that meet become one; one that grows long is cut with the longest notice as overlap."""
         out: list[list[int]] = []
         for i, w in enumerate(words):
-            if self.telling.search(w) or w.casefold() == "permission":
+            if self.telling.search(w):
                 first, last = max(0, i - self.longest), min(len(words), i + self.longest)
                 if out and first <= out[-1][1] and last - out[-1][0] <= 6 * self.longest:
                     out[-1][1] = last
@@ -91,19 +113,23 @@ class Scanner:
         notice = self.words[name]
         n, out, at = len(notice), [], 0
         if n < 20:
+            form = lambda w: self.loose.get(w, w)
+            shape, here = [form(w) for w in notice], [form(w) for w in words]
             while at + n <= len(words):
-                if words[at] == notice[0] and words[at : at + n] == notice:
-                    out.append((at, at + n, 0))
+                if here[at] == shape[0] and here[at : at + n] == shape:
+                    out.append((at, at + n, sum(a != b for a, b in zip(notice, words[at : at + n], strict=True))))
                     at += n
                 else:
                     at += 1
             return out
         limit = int(SLACK * n)
+        # words of the notice up to each place: a stretch that holds too few of them can't be it
+        upto = [0, *itertools.accumulate(w in self.sets[name] for w in words)]
         matcher = difflib.SequenceMatcher(None, autojunk=False)
         matcher.set_seq2(notice)
         head = set(notice[: limit + 1])
         while at + n - limit <= len(words):
-            if words[at] in head:
+            if words[at] in head and upto[min(at + n + limit, len(words))] - upto[at] >= n - limit:
                 matcher.set_seq1(words[at : at + n + limit])
                 parts = [m for m in matcher.get_matching_blocks() if m.size]
                 end = parts[-1].a + parts[-1].size if parts else 0
@@ -147,9 +173,11 @@ class Scanner:
 def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
     """One row for each row of documents: doc_id, n_blocks, n_found, licenses (distinct names, sorted, joined by commas), spans.
 
-    Spans count words from 0, the last is exclusive. Whole texts are scanned; a null or empty text, or one without a telling
-    word, has none. Case and the marks around a word don't count as differences; every other word does, and a different version is never passed over.
-    A passage that holds two notices has two spans, one inside another has the longer one. Other columns are not read; there is no shuffle.
+    Spans count words from 0, the last is exclusive. Whole texts are scanned, however long; a null or empty text, or one without a
+    telling word, has none. Case and the marks around a word don't count as differences; every other word does, and a different
+    version is never passed over. In a notice of fewer than 20 words only words of LOOSE may differ, within their group. A passage
+    that holds two notices has two spans, one inside another has the longer one. Other columns are not read, whatever their names;
+    repeated rows give repeated rows, and an empty table none. There is no shuffle.
     """
     notices = NOTICES if notices is None else notices
 
@@ -167,4 +195,4 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None) -> DataFrame:
                 names=["doc_id", "n_blocks", "n_found", "licenses", "spans"],
             )
 
-    return docs.select("doc_id", F.when(F.col("text").rlike(TELLING), F.col("text")).alias("text")).mapInArrow(rows, SCHEMA)
+    return docs.select("doc_id", F.when(F.col("text").rlike(telling(notices)), F.col("text")).alias("text")).mapInArrow(rows, SCHEMA)

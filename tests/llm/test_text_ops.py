@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kvloom.llm import licenses, minhash, packing, paragraphs, pieces, repetition, separators, substrings
 from kvloom.llm.queries import tokenizer
@@ -148,13 +149,16 @@ def test_licenses(spark, empty):
         1: ("Words before. Released under the MIT License. And after", "MIT"), 2: ("licensed under cc by-nc 4.0", "CC-BY-NC-4.0"), 3: ("Licensed under CC BY-NC 3.0.", ""),
         4: (f"x {long} y. Licensed under the Apache License, Version 2.0. z", "Apache-2.0,MIT permission"), 5: (long.replace("charge", "cost"), "MIT permission"), 6: (long.replace("use, copy, modify, merge, publish", "read"), ""),
         7: (None, ""), 8: ("", ""), 9: ("a license of no known kind " * 500, ""), 10: ("w " * 3000 + n["GPL-3.0"] + " w" * 3000, "GPL-3.0"), 11: ((n["MIT"] + "\n") * 3, "MIT"), 12: (n["Apache-2.0 header"], "Apache-2.0 header"),
+        13: ("Distributed under the MIT licence, they say", "MIT"), 14: ("Released under the BSD License", ""), 15: ("// SPDX-License-Identifier: BSD-3-Clause\nint x;", "BSD-3-Clause identifier"), 16: ("This program is licensed under the GNU General Public License v 3", "GPL-3.0"),
     }
     docs = spark.createDataFrame([(i, t, "s") for i, (t, _) in rows.items()], "doc_id long, text string, licenses string")
     got = by_id(licenses.scan(docs))
     assert {i: r["licenses"] for i, r in got.items()} == {i: want for i, (_, want) in rows.items()}
     assert got[11]["n_found"] == 3 and got[5]["spans"][0]["n_differences"] == 1 and got[1]["spans"][0]["first"] == 2
     assert licenses.scan(empty).count() == 0
-    assert all(re.search(licenses.TELLING, t) for t in n.values())
+    assert all(re.search(licenses.telling(n), t) for t in n.values())
+    own = licenses.scan(docs.select("doc_id", F.lit("all rights are kept by Zaphod").alias("text")), {"own": "All rights are kept by Zaphod"}).first()
+    assert own["n_found"] == 1
 
 
 def removed(texts, window):

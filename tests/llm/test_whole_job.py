@@ -117,6 +117,31 @@ def test_notices_beside_near_misses():
         assert Counter(x[0] for x in scanner.scan(t)[1]) == every_notice(t), t
 
 
+def test_recall_of_altered_notices():
+    """Long notices with as many words changed as may differ are found with that number, and none with twice as many."""
+    scanner, r = licenses.Scanner(licenses.NOTICES), random.Random(11)
+    filler = lambda n: " ".join(r.choice(["plain", "words", "stand", "here"]) for _ in range(n))
+    found = tried = 0
+    for name, notice in licenses.NOTICES.items():
+        words = notice.split()
+        limit = int(licenses.SLACK * len(scanner.words[name]))
+        if len(scanner.words[name]) < 20:
+            continue
+        for _ in range(6):
+            for n in {1, limit} - {0}:
+                changed = list(words)
+                for i in r.sample([i for i, w in enumerate(words) if not any(c.isdigit() for c in w) and licenses.normal(w)], n):
+                    changed[i] = "changed"
+                hits = scanner.scan(f"{filler(30)} {' '.join(changed)} {filler(30)}")[1]
+                tried += 1
+                found += any(h[0] == name and h[3] <= 2 * n for h in hits)
+            over = list(words)
+            for i in r.sample(range(len(words)), 3 * limit + 3):
+                over[i] = "changed"
+            assert not any(h[0] == name for h in scanner.scan(f"{filler(30)} {' '.join(over)} {filler(30)}")[1])
+    assert tried > 60 and found >= 0.95 * tried
+
+
 def test_end_markers_within_texts(spark):
     from tokenizers import Tokenizer
 
