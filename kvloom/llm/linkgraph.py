@@ -55,7 +55,8 @@ def path_of(url: Column) -> Column:
 def fitting(rules: tuple[Rule, ...], host: Column, path: Column, what) -> Column:
     """what(rule) of the longest rule that fits, of equally long ones the first by text; null if none fits. Rules stand in the plan, so some thousand at most."""
     out = F.lit(None)
-    for r in sorted(rules, key=lambda r: (len(r.text), r.text), reverse=False):
+    by_text = sorted(rules, key=lambda r: r.text, reverse=True)
+    for r in sorted(by_text, key=lambda r: len(r.text)):  # the last is asked first
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
         out = F.when(fits, F.lit(what(r))).otherwise(out)
     return out

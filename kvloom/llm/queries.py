@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvloom.llm import licenses, linkgraph, minhash, packing, paragraphs, perplexity, pieces, repetition, separators, substrings
+from kvloom.llm.oracles import ORACLES
 from kvloom.sources.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -95,3 +95,6 @@ def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.judge(table(spark, sf_dir, "pages"))
+
+
+__all__ = ["ORACLES", "QUERIES", "documents", "ready", "table", "tokenizer"]
