@@ -27,6 +27,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 SIZE = BANDS * ROWS
 RANK_BITS, FRACTION = 44, 33
+#: Darts that are looked at together, about.
+DARTS = 500_000
 U = np.uint64
 SIGNED = "doc_id long, n_words long, key long, key2 long, bands array<long>"
 
@@ -53,7 +55,7 @@ def signatures(elements: np.ndarray, owner: np.ndarray, n: int, size: int = SIZE
     todo = np.flatnonzero(mass > 0)
     reach[todo] = size * (math.log(size) + 4) / mass[todo]
     salted = T.mix(elements ^ T.series(1, 77 + seed)[0])
-    per_round = max(1, (1 << (64 - RANK_BITS)) // size - 1)
+    per_round = max(1, min((1 << (64 - RANK_BITS)) // size - 1, DARTS // (size * 9)))
     while len(todo):
         empty = []
         for at in range(0, len(todo), per_round):
