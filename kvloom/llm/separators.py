@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from kvloom.llm import shared
 from kvloom.llm import text as T
-from kvloom.llm.tokens import DICTIONARY_BLOCK, word_ids
+from kvloom.llm.tokens import word_ids
 
 #: Bytes that are searched at once.
 BLOCK_BYTES = 1 << 20
+#: Bytes of text whose ids are made together; a longer document is a block of its own.
+TEXT_BYTES = 3 << 20
 #: Documents whose ids are listed in one row beside the token files.
 LISTED = 1000
 #: Bytes that readers take for a mark of the encoding, and drop, where a file begins with them.
@@ -62,7 +64,7 @@ def write_flat(docs: DataFrame, path: str, end_id: int, folder: str, id_bytes: i
         file, number = TaskContext.get().partitionId(), 0
         encoder = word_ids(path)
         for batch in batches:
-            for b in T.blocks(batch.column(1), DICTIONARY_BLOCK):
+            for b in T.blocks(batch.column(1), TEXT_BYTES):
                 ids, offsets = encoder.block(b)
                 if len(ids) and ids.max() >= inner:
                     raise ValueError(f"the vocabulary has ids that don't fit {id_bytes} bytes")

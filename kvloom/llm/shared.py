@@ -3,24 +3,14 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where it is unset (tests on one machine), a temporary folder of this machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="kvloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from kvloom.sources.files import delete, exists
+from kvloom.sources.files import shared_folder as folder
 
 
 class _Open(threading.local):
@@ -102,16 +92,6 @@ def scratch() -> Iterator[None]:
                 delete(spark, path)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def fresh(taken: list[str], name: str) -> str:
     """A column name like `name` that is none of those taken, in any case of letters."""
     lower = {t.lower() for t in taken}
