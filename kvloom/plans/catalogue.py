@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvloom.config import Options
 from kvloom.functions.handlers import handler_udf
 from kvloom.functions.hooks import Hooks, published
 from kvloom.operators import log as L
@@ -17,7 +18,8 @@ from kvloom.operators import stats as st
 from kvloom.operators.fold import latest
 from kvloom.sources import files, rawlog
 from kvloom.sources.ship import ship
-from kvloom.sources.wal import wal_offsets
+from kvloom.sources.store import open_store
+from kvloom.sources.wal import Wal, wal_offsets
 from kvloom.streaming.incremental import fold_available
 from kvloom.streaming.pubsub import deliveries, subscribers
 
@@ -341,4 +343,66 @@ def q35_record_at(spark, d):
     return split_key(L.record_at(log, first), "seq").select("seq", "k")
 
 
+@query("SELECT k, v FROM live WHERE bucket = 'view'")
+def q36_store_scan(spark, d):
+    """The log appended to a store in one batch, compacted, and a bucket scanned from its part of the files."""
+    store = filled_store(spark, d)
+    store.compact()
+    return store.bucket("view").frame().select(text("key", "k"), text("value", "v"))
+
+
+def filled_store(spark, d, where: str = "true"):
+    """A new store in the shared folder with the events that `where` chooses, in one bulk append."""
+    folder = files.shared_folder(spark)
+    files.make_folder(spark, folder)
+    store = open_store(spark, f"{folder}/store-{uuid.uuid4().hex}", Options().with_maintenance(False))
+    log = log_of(spark, d).filter(where)
+    store.append(log.select("bucket", "user_key", "op", "value", F.col("seq").alias("position")))
+    return store
+
+
+@query("SELECT bucket, k, count(*) AS n FROM l WHERE op = 'put' GROUP BY ALL")
+def q37_batch_frequency(spark, d):
+    """Every record of a bulk append is logged, so duplicates in a batch count."""
+    return split_key(sketches.key_frequency(filled_store(spark, d).log()), "n")
+
+
+@query("SELECT bucket, k, v FROM live")
+def q38_recovered_store(spark, d):
+    """The events up to one of them appended to a store, the later ones left in its write-ahead log, and the store opened again."""
+    store = filled_store(spark, d, "seq < 500")
+    Wal(spark, f"{store.root}/{store.version}/wal").append(log_of(spark, d).filter("seq >= 500").withColumn("seq", F.col("seq") + 1_000_000))
+    return shown(open_store(spark, store.root, Options().with_maintenance(False)).latest())
+
+
+@query("SELECT seq, k FROM (SELECT seq, k, sum(m) OVER (ORDER BY seq) - m AS s FROM (SELECT seq, k, 8 + strlen(bucket) + 1 + strlen(k) + strlen(coalesce(v, '')) AS m FROM l)) WHERE s >= 50000 AND s < 90000")
+def q39_wal_between(spark, d):
+    """Records of a write-ahead log that start in a range of bytes."""
+    placed = wal_offsets(log_of(spark, d))
+    return split_key(placed.filter((F.col("wal_offset") >= 50_000) & (F.col("wal_offset") < 90_000)), "seq").select("seq", "k")
+
+
+@query("SELECT bucket, k, count(*) AS n, TRUE AS never_under FROM l WHERE op = 'put' GROUP BY ALL")
+def q40_cms_of_one_row(spark, d):
+    """The count-min sketch as the engine configures it: one row of 512 cells."""
+    log = sketches.puts(log_of(spark, d))
+    exact = sketches.key_frequency(log)
+    est = sketches.cms_estimate(exact, sketches.cms(log, 0.01, 1), 0.01, 1)
+    return split_key(exact.join(est, "full_key").withColumn("never_under", F.col("estimate") >= F.col("n")), "n", "never_under")
+
+
+@query("SELECT bucket, k, CASE WHEN bucket = 'view' THEN hex(encode(k)) ELSE hex(encode(bucket)) || '00' || hex(encode(k)) END AS raw_key FROM (SELECT DISTINCT bucket, k FROM l)")
+def q41_keys_of_buckets(spark, d):
+    """Full keys and channel keys: the bucket, NUL, the key; here 'view' stands for the bucket without a name."""
+    rows = log_of(spark, d).select("bucket", "user_key").distinct()
+    return rows.select("bucket", text("user_key", "k"), F.hex(L.full_key(F.when(F.col("bucket") == "view", "").otherwise(F.col("bucket")), F.col("user_key"))).alias("raw_key"))
+
+
+@query("SELECT FALSE AS whole, TRUE AS none, CAST(count(*) AS BIGINT) AS n FROM l")
+def q42_is_empty(spark, d):
+    log = log_of(spark, d)
+    count = lambda df, name: df.agg((F.count("*") == 0).alias(name))
+    return count(log, "whole").crossJoin(count(log.filter("seq < 0"), "none")).crossJoin(log.agg(F.count("*").alias("n")))  # one row each
+
+
 __all__ = ["ORACLES", "QUERIES", "event_log", "table"]

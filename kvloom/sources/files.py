@@ -66,3 +66,8 @@ def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder."""
     p, fs = _path(spark, path)
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.mkdirs(p)
