@@ -5,9 +5,9 @@ A sketch has CELLS cells of (count, xor of digests, xor of checks); a digest goe
 is that sketch of the whole text. The sketch of one version minus that of another holds just what differs, and peeling recovers it:
 a cell with count 1 or -1 whose check fits its digest gives a digest, which is taken from its cells, until nothing is left.
 
-If cells are left, the sketch was too small, and a larger one is made of both versions: digests are dealt by their bits to SPLIT
-parts with a sketch each, which are subtracted and peeled in turn. Only parts that fail again are split further, so the work
-follows the size of the difference.
+If cells are left, the sketch was too small, and a larger one is made of both versions: digests are dealt by their bits to parts
+with a sketch each, as many as the sets could call for, which are subtracted and peeled in turn. Only parts that fail again are
+split further, so the work follows the size of the difference.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from kvloom.llm import shared
 
-#: Bits of a cell's place in its row, rows, and bits that say to which part of the next larger sketch a digest goes.
-PLACE_BITS, ROWS, SPLIT_BITS = 2, 3, 3
-WIDTH, SPLIT = 1 << PLACE_BITS, 1 << SPLIT_BITS
-CELLS = ROWS * WIDTH
-#: Tries, each with sketches SPLIT times as large; the last has 2^45 parts, so only digests that agree in as many bits fail there.
-TRIES = 16
+#: Rows, and bits of a cell's place in its row: in a fingerprint, and in the parts of larger sketches.
+ROWS, PLACE_BITS, PART_BITS = 3, 2, 3
+CELLS = ROWS << PLACE_BITS
+#: Digests of both versions that a part is meant for, the most parts that one is split to, and tries; parts multiply from try to try.
+PART_ITEMS, SPLIT_BITS, TRIES = 10, 6, 10
+SPLIT = 1 << SPLIT_BITS
 #: Seeds of checks, places and parts.
 CHECK, PLACES, PARTS = 99, 101, 7
 #: Where one paragraph ends and the next begins, and what a paragraph must hold.
@@ -47,18 +47,19 @@ def _items(keys: str) -> str:
     return f"transform({keys}, k -> named_struct('k', k, 'c', xxhash64(k, {CHECK}), 'h', xxhash64(k, {PLACES}), 'g', xxhash64(k, {PARTS})))"
 
 
-def _place(h: str, level: str, row: int) -> str:
-    return f"cast(shiftrightunsigned({h}, {PLACE_BITS * ROWS} * ({level} % 10) + {PLACE_BITS * row}) & {WIDTH - 1} as int)"
+def _place(h: str, level: str, row: int, bits: int) -> str:
+    return f"cast(shiftrightunsigned({h}, {ROWS * bits} * ({level} % 7) + {bits * row}) & {(1 << bits) - 1} as int)"
 
 
-def sketch(items: str, level: str = "0") -> str:
+def sketch(items: str, level: str = "0", bits: int = PLACE_BITS) -> str:
     """Cells (n, k, c) of items, row after row; each level (SQL of a number) has places of its own."""
+    places = ", ".join(f"'{name}', {_place('x.h', level, row, bits)}" for row, name in enumerate("xyz"))
     rows = [
-        f"transform(sequence(0, {WIDTH - 1}), i -> aggregate(filter({items}, x -> {_place('x.h', level, row)} = i), "
+        f"transform(sequence(0, {(1 << bits) - 1}), i -> aggregate(filter(o, x -> x.{name} = i), "
         "named_struct('n', 0, 'k', 0L, 'c', 0L), (a, x) -> named_struct('n', a.n + 1, 'k', a.k ^ x.k, 'c', a.c ^ x.c)))"
-        for row in range(ROWS)
+        for name in "xyz"
     ]
-    return f"concat({', '.join(rows)})"
+    return let("o", f"transform({items}, x -> named_struct('k', x.k, 'c', x.c, {places}))", f"concat({', '.join(rows)})")
 
 
 def subtracted(first: str, second: str) -> str:
@@ -68,36 +69,45 @@ def subtracted(first: str, second: str) -> str:
     return f"filter({placed}, c -> c.n <> 0 OR c.k <> 0L OR c.c <> 0L)"
 
 
-def peeled(cells: str, level: str = "0") -> str:
+def peeled(cells: str, level: str = "0", bits: int = PLACE_BITS) -> str:
     """(left, p, m): the cells that stay after peeling, and the digests recovered with count 1 and -1."""
     pure = f"get(filter(a.left, c -> abs(c.n) = 1 AND xxhash64(c.k, {CHECK}) = c.c), 0)"
-    places = ", ".join(f"'{name}', {_place(f'xxhash64(q.k, {PLACES})', level, row)} + {row * WIDTH}" for row, name in enumerate("xyz"))
+    places = ", ".join(f"'{name}', {_place(f'xxhash64(q.k, {PLACES})', level, row, bits)} + {row << bits}" for row, name in enumerate("xyz"))
     found = f"transform(array({pure}), q -> if(q IS NULL, NULL, named_struct('n', q.n, 'k', q.k, 'c', q.c, {places})))"
     taken = (
         "filter(transform(a.left, c -> if(c.i = q.x OR c.i = q.y OR c.i = q.z, "
         "named_struct('i', c.i, 'n', c.n - q.n, 'k', c.k ^ q.k, 'c', c.c ^ q.c), c)), c -> c.n <> 0 OR c.k <> 0L OR c.c <> 0L)"
     )
-    more = "named_struct('left', {0}, 'p', if(q.n > 0, concat(a.p, array(q.k)), a.p), 'm', if(q.n < 0, concat(a.m, array(q.k)), a.m), 'done', false)"
-    step = f"get(transform({found}, q -> if(q IS NULL, named_struct('left', a.left, 'p', a.p, 'm', a.m, 'done', true), {more.format(taken)})), 0)"
+    more = f"named_struct('left', {taken}, 'p', if(q.n > 0, concat(a.p, array(q.k)), a.p), 'm', if(q.n < 0, concat(a.m, array(q.k)), a.m), 'done', false)"
+    step = f"get(transform({found}, q -> if(q IS NULL, named_struct('left', a.left, 'p', a.p, 'm', a.m, 'done', true), {more})), 0)"
     none = "cast(array() as array<bigint>)"
-    start = f"named_struct('left', z, 'p', {none}, 'm', {none}, 'done', false)"
+    start = f"named_struct('left', z, 'p', {none}, 'm', {none}, 'done', size(z) = 0)"
     return let("z", cells, f"aggregate(sequence(0, size(z)), {start}, (a, t) -> if(a.done, a, {step}))")
 
 
-def difference(first: str, second: str) -> str:
-    """SQL of (p, m), the digests of items in the first set alone and in the second alone: recovered from the difference of two
-    sketches, which are made larger until peeling leaves nothing."""
-    one = peeled(subtracted(sketch("v.a", "level"), sketch("v.b", "level")), "level")
-    tried = let("r", one, "named_struct('failed', size(r.left) > 0, 'a', v.a, 'b', v.b, 'p', r.p, 'm', r.m)")
-    here = lambda side: f"filter(y.{side}, x -> (shiftrightunsigned(x.g, {SPLIT_BITS} * level) & {SPLIT - 1}) = t)"
-    parts = f"transform(sequence(0, {SPLIT - 1}), t -> named_struct('a', {here('a')}, 'b', {here('b')}))"
-    todo = f"flatten(transform(filter(done, y -> y.failed), y -> {parts}))"
-    got = lambda side: f"concat(s.{side}, flatten(transform(filter(done, y -> NOT y.failed), y -> y.{side})))"
+def _split(pair: str, level: str) -> str:
+    """Pairs of sets (a, b) dealt to parts by the bits of their digests; parts without digests are left out."""
+    parts = f"greatest(2, least({SPLIT}, (size({pair}.a) + size({pair}.b)) div {PART_ITEMS}))"
+    here = lambda side: f"filter({pair}.{side}, x -> pmod(shiftrightunsigned(x.g, {SPLIT_BITS} * {level}), w) = t)"
+    dealt = f"transform(sequence(0, w - 1), t -> named_struct('a', {here('a')}, 'b', {here('b')}))"
+    return let("w", parts, f"filter({dealt}, y -> size(y.a) > 0 OR size(y.b) > 0)")
+
+
+def difference(sets: str, first: str, second: str) -> str:
+    """SQL of (p, m), the digests in the first set alone and in the second alone: recovered from the difference of their sketches
+    `first` and `second`, and where these are too small from larger ones. `sets` is a struct (a, b) of items."""
+    one = peeled(subtracted(sketch("v.a", "level", PART_BITS), sketch("v.b", "level", PART_BITS)), "level", PART_BITS)
+    tried = let("r", one, "named_struct('failed', size(r.left) > 0, 'p', r.p, 'm', r.m)")
+    again = "filter(zip_with(s.todo, done, (v, u) -> if(u.failed, v, NULL)), v -> v IS NOT NULL)"
+    todo = f"flatten(transform({again}, v -> {_split('v', 'level')}))"
+    got = lambda side: f"concat(s.{side}, flatten(transform(filter(done, u -> NOT u.failed), u -> u.{side})))"
     step = let("done", f"transform(s.todo, v -> {tried})", f"named_struct('todo', {todo}, 'p', {got('p')}, 'm', {got('m')})")
     none = "cast(array() as array<bigint>)"
-    start = f"named_struct('todo', array(named_struct('a', {first}, 'b', {second})), 'p', {none}, 'm', {none})"
+    start = f"named_struct('todo', {_split('v0', '0')}, 'p', {none}, 'm', {none})"
     end = "if(size(s.todo) = 0, named_struct('p', s.p, 'm', s.m), raise_error('paragraph digests agree in too many bits'))"
-    return f"aggregate(sequence(0, {TRIES - 1}), {start}, (s, level) -> if(size(s.todo) = 0, s, {step}), s -> {end})"
+    larger = f"aggregate(sequence(1, {TRIES}), {start}, (s, level) -> if(size(s.todo) = 0, s, {step}), s -> {end})"
+    small = let("r0", peeled(subtracted(first, second)), f"if(size(r0.left) = 0, named_struct('p', r0.p, 'm', r0.m), {larger})")
+    return let("v0", sets, small)
 
 
 def printed(cells: str) -> str:
@@ -121,18 +131,20 @@ def differing(first: str, second: str) -> Column:
 def compare(versions: DataFrame, first: str, second: str, third: str) -> DataFrame:
     """versions with three columns of arrays of digests replaced by: fingerprint, edited_fingerprint (sketches of the first and the
     second), near_edited and near_next (likeness of the first to the second and to the third). Rows are worked on where they are."""
-    names = {"a": first, "b": second, "c": third}
-    items = ", ".join(f"'{n}', {_items(column)}" for n, column in names.items())
-    sketches = ", ".join(f"'{n}', {sketch(f'v.{n}')}" for n in names)
-    total = lambda n: f"aggregate(slice(s.{n}, 1, {WIDTH}), 0, (x, c) -> x + c.n)"  # noqa: E731  each row of a sketch counts every digest
+    kept = [c for c in versions.columns if c not in (first, second, third)]
+    v, s, d, n = (shared.fresh(versions.columns, name) for name in ("items_", "sketches_", "edited_", "next_"))
+    struct = lambda fields: "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+    items = versions.select(*kept, F.expr(struct({"a": _items(f"`{first}`"), "b": _items(f"`{second}`"), "c": _items(f"`{third}`")})).alias(v))
+    sketched = items.select(*kept, v, F.expr(struct({side: sketch(f"{v}.{side}") for side in "abc"})).alias(s))
+    only = lambda other: F.expr(difference(f"named_struct('a', {v}.a, 'b', {v}.{other})", f"{s}.a", f"{s}.{other}"))
+    apart = sketched.select(*kept, s, only("b").alias(d), only("c").alias(n))
+    total = lambda side: f"aggregate(slice({s}.{side}, 1, {1 << PLACE_BITS}), 0, (x, c) -> x + c.n)"  # noqa: E731  each row of a sketch counts every digest
     # common digests as a share of all; 1 where neither text has any
-    share = lambda n, d: let("e", f"{total(n)} + size({d}.p)", f"if(e = 0, 1D, ({total('a')} - size({d}.p)) / e)")
-    out = f"named_struct('f', {printed('s.a')}, 'e', {printed('s.b')}, 'ne', {share('b', 'd')}, 'nn', {share('c', 'n')})"
-    worked = let("v", f"named_struct({items})", let("s", f"named_struct({sketches})", let("d", difference("v.a", "v.b"), let("n", difference("v.a", "v.c"), out))))
-    done = shared.fresh(versions.columns, "worked")
-    kept = [c for c in versions.columns if c not in names.values()]
-    fields = {"f": "fingerprint", "e": "edited_fingerprint", "ne": "near_edited", "nn": "near_next"}
-    return versions.select(*kept, F.expr(worked).alias(done)).select(*kept, *[F.col(f"{done}.{f}").alias(name) for f, name in fields.items()])
+    share = lambda side, alone: F.expr(let("e", f"{total(side)} + size({alone}.p)", f"if(e = 0, 1D, ({total('a')} - size({alone}.p)) / e)"))
+    return apart.select(
+        *kept, F.expr(printed(f"{s}.a")).alias("fingerprint"), F.expr(printed(f"{s}.b")).alias("edited_fingerprint"),
+        share("b", d).alias("near_edited"), share("c", n).alias("near_next"),
+    )
 
 
 def following(ids: DataFrame) -> DataFrame:
