@@ -22,6 +22,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("label")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct())
 
 
+def _met(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows (v, u) with m of least (v, m), one row a v. The join is on another value than the one that least was grouped by, so both
+    sides are dealt out for it, and the session can split the rows of a node that a third of all links lead to."""
+    key = F.bitwise_not("v").alias("k")
+    return rows.select("v", "u", key).join(least.select(key, "m"), "k").drop("k")
+
+
 def _stars(links: DataFrame) -> DataFrame:
     """(v, u): each node but the least of its component under the least."""
     edges = shared.written(links.filter("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
@@ -30,10 +37,10 @@ def _stars(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("m", "v").alias("m"))
         # every larger neighbour goes under the least one around
-        large = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
+        large = _met(both, least).filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
         # and of what a node then hangs under, all go under the least
         low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v").select(F.explode(F.array(F.struct(F.col("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*")
+        small = _met(large, low).select(F.explode(F.array(F.struct(F.col("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.*")
         edges = shared.written(small.filter("v <> u").distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == state:

@@ -173,7 +173,8 @@ def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     ranked = rows.join(often, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("s"))
     size = F.size("s")
     count = size - F.ceil(similarity * size - 1e-9) + 1
-    return ranked.select("doc_id", size.alias("size"), F.posexplode(F.slice("s", F.lit(1), count.cast("int"))).alias("at", "x")).filter("x.often > 1").select("x.shingle", "doc_id", "size", (F.col("size") - F.col("at")).alias("rest"))
+    first = ranked.select("doc_id", size.alias("size"), F.posexplode(F.slice("s", F.lit(1), count.cast("int"))).alias("at", "x"))
+    return first.filter("x.often > 1").select("x.shingle", "doc_id", "size", (F.col("size") - F.col("at")).alias("rest"))
 
 
 def _labelled(marks: DataFrame, labels: DataFrame) -> DataFrame:

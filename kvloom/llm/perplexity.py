@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kvloom.llm import filters, shared
@@ -458,17 +459,23 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
         done = shared.written(_scores(docs, *model(trusted, running=True), running=True), "scores", keep=True)
     mine = done.join(good, "doc_id", "left_semi").filter("n > 0")
     means = mine.groupBy("lang").agg((-F.sum("logp") / F.sum("n")).alias("mean"))
-    smooth = lambda df: df.join(F.broadcast(means), "lang", "left").withColumn("step", F.floor((-F.col("logp") + prior * F.coalesce("mean", F.lit(0.0))) / F.greatest(F.col("n") + F.when(F.col("mean").isNull(), 0).otherwise(prior), F.lit(1)) / STEP).cast("int"))  # noqa: E731  one row a language
-    histogram = smooth(mine).groupBy("lang", F.least("step", F.lit(STEPS)).alias("step")).agg(F.count("*").alias("c"))
-    from pyspark.sql import Window as W
 
+    def stepped(df: DataFrame) -> DataFrame:
+        """With the step of each text's mean loss, drawn to its language's."""
+        known = df.join(F.broadcast(means), "lang", "left")  # one row a language
+        drawn = F.when(F.col("mean").isNull(), 0).otherwise(prior)
+        loss = (-F.col("logp") + drawn * F.coalesce("mean", F.lit(0.0))) / F.greatest(F.col("n") + drawn, F.lit(1))
+        return known.withColumn("step", F.floor(loss / STEP).cast("int"))
+
+    histogram = stepped(mine).groupBy("lang", F.least("step", F.lit(STEPS)).alias("step")).agg(F.count("*").alias("c"))
     upto = F.sum("c").over(W.partitionBy("lang").orderBy("step"))
     cumulated = histogram.withColumn("upto", upto).withColumn("all", F.sum("c").over(W.partitionBy("lang")))
     limits = cumulated.filter(F.col("upto") >= F.ceil(quantile * F.col("all"))).groupBy("lang").agg(F.min("step").alias("limit"))
     limits = limits.select("lang", F.floor(F.col("limit") + math.log(margin) / STEP).cast("int").alias("limit"))
-    judged = smooth(done).join(F.broadcast(limits), "lang", "left")  # one row a language
+    judged = stepped(done).join(F.broadcast(limits), "lang", "left")  # one row a language
     kept = F.coalesce(F.col("step") <= F.col("limit"), F.lit(True))
-    return judged.select("doc_id", "lang", F.col("n").alias("n_grams"), F.exp(F.col("step") * STEP).alias("perplexity"), F.exp(F.col("limit") * STEP).alias("threshold"), kept.alias("kept"))
+    perplexity, threshold = F.exp(F.col("step") * STEP), F.exp(F.col("limit") * STEP)
+    return judged.select("doc_id", "lang", F.col("n").alias("n_grams"), perplexity.alias("perplexity"), threshold.alias("threshold"), kept.alias("kept"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:

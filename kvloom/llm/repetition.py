@@ -17,7 +17,8 @@ NGRAM_LIMITS = {3: 0.45, 5: 0.35, 8: 0.30, 12: 0.30}
 LINE_LIMIT = 0.35
 MIN_WORDS = 50
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, dup_line_chars long, " + ", ".join(f"dup_{n}gram_chars long" for n in NGRAM_LIMITS) + ", base_failed boolean, kept boolean"
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_{n}gram_chars" for n in NGRAM_LIMITS))
+SCHEMA = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "base_failed boolean", "kept boolean"])
 
 
 def measure(b: T.Block) -> dict[str, np.ndarray]:

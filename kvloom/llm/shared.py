@@ -84,7 +84,7 @@ def scratch() -> Iterator[None]:
         yield
     finally:
         _open.blocks.pop()
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         for path in paths:
             if path.startswith("table "):
                 spark.sql(f"DROP TABLE IF EXISTS `{path[6:]}`")

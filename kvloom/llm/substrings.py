@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -217,18 +216,23 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _match(window: int):
-    def shard(rows: pd.DataFrame) -> pd.DataFrame:
+    def shard(rows: pa.Table) -> pa.Table:
         """Spans of a shard's contexts that an earlier document holds."""
-        out: list[tuple] = []
+        out: list[tuple[int, int, int, int]] = []
         automaton = Automaton()
-        rows = rows.sort_values(["doc_id", "key", "first"], kind="stable")
-        for doc, group in rows.groupby("doc_id", sort=True):
-            texts = [np.frombuffer(w, "<i8").tolist() for w in group["words"]]
-            for key, first, words in zip(group["key"], group["first"], texts, strict=True):
-                out += [(doc, key, first + i, first + j) for i, j in automaton.spans(words, window)]
+        rows = rows.sort_by([("doc_id", "ascending"), ("key", "ascending"), ("first", "ascending")])
+        docs = rows.column("doc_id").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(docs)) + 1).tolist(), len(docs)]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            own = rows.slice(i, j - i)
+            texts = [np.frombuffer(w, "<i8").tolist() for w in own.column("words").to_pylist()]
+            for key, first, words in zip(own.column("key").to_pylist(), own.column("first").to_pylist(), texts, strict=True):
+                out += [(int(docs[i]), key, first + a, first + b) for a, b in automaton.spans(words, window)]
             for words in {tuple(w) for w in texts} if len(texts) > 1 else [tuple(texts[0])]:
                 automaton.add(list(words))
-        return pd.DataFrame(out, columns=["doc_id", "key", "first", "last"])
+        columns = zip(*out, strict=True) if out else [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        return pa.table({n.split()[0]: pa.array(list(c), k) for n, c, k in zip(RANGES.split(", "), columns, kinds, strict=True)})
 
     return shard
 
@@ -293,7 +297,7 @@ def _ranges(docs: DataFrame, window: int, run: int) -> DataFrame:
     words = chosen.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(_wanted, WORDS)
     words = shared.written(words, "words")
 
-    matched = words.filter("shard >= 0").select("shard", "doc_id", "key", "first", "words").groupBy("shard").applyInPandas(_match(window), RANGES)
+    matched = words.filter("shard >= 0").select("shard", "doc_id", "key", "first", "words").groupBy("shard").applyInArrow(_match(window), RANGES)
     wide = shared.written(words.filter("shard < 0").select("doc_id", "key", "first", "words", "words2").mapInArrow(_windows(window), WINDOWS).dropDuplicates(), "windows")
     earliest = wide.groupBy("window", "window2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last_owner"))
     earliest = shared.written(earliest.filter("owner < last_owner").drop("last_owner"), "earliest")

@@ -6,6 +6,7 @@ other characters, so words are cut on bytes. A null text has no words, as an emp
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ BLOCK = 2 << 20
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 U64 = np.uint64
+_LIBC = ctypes.CDLL(None)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -154,7 +156,14 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
         end = min(end, n)
         yield cut(buf, offsets[at : end + 1], at)
         at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Unused memory goes back to the system: a worker outlives its task, and the next may need the memory elsewhere."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -133,7 +133,7 @@ class WordIds:
         """Gives back what is remembered of words: a worker outlives its task, and the next may need the memory."""
         for memory in (self.cores, self.odd, self.tails):
             memory.clear()
-        pa.default_memory_pool().release_unused()
+        T.give_back()
 
     def words(self, words: pa.Array) -> pa.Array:
         words = pc.ascii_trim_whitespace(words)
