@@ -36,7 +36,8 @@ def make_log(df: DataFrame, seq: Column, bucket: Column, key: Column, op: Column
 
 
 def record_length() -> Column:
-    return F.when(F.col("op") == "put", F.lit(PUT_HEADER) + F.octet_length("full_key") + F.coalesce(F.octet_length("value"), F.lit(0))).otherwise(F.lit(DELETE_HEADER) + F.octet_length("full_key")).cast("long")
+    put = F.lit(PUT_HEADER) + F.octet_length("full_key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    return F.when(F.col("op") == "put", put).otherwise(F.lit(DELETE_HEADER) + F.octet_length("full_key")).cast("long")
 
 
 def wal_record_length() -> Column:
