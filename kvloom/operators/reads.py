@@ -40,7 +40,7 @@ def scan_first(log: DataFrame, bucket: str, n: int) -> DataFrame:
 def multi_get(probes: DataFrame, log: DataFrame) -> DataFrame:
     """probes(full_key) with their values, null where there is none. The log is cut down to the probed keys before it is folded."""
     keys = probes.select("full_key").distinct()
-    return probes.join(latest(log.join(keys, "full_key", "left_semi")).select("full_key", "value"), "full_key", "left")
+    return probes.join(latest(log, log.join(keys, "full_key", "left_semi")).select("full_key", "value"), "full_key", "left")
 
 
 def _live_probes(probes: DataFrame, log: DataFrame) -> DataFrame:

@@ -99,28 +99,33 @@ def bloom_bits(keys: DataFrame, items: int = 1_000_000, fpr: float = 0.01, key:
     return bit.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
 
 
+def _position(key: Column, i: int, m: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(i)), F.lit(m))
+
+
 def _positions(key: Column, m: int, k: int) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(m)) for i in range(k)])
+    return F.array(*[_position(key, i, m) for i in range(k)])
 
 
-#: Filters of up to so many bits (16 MB) go to the executors; larger ones are joined in a shuffle.
-BROADCAST_BITS = 1 << 27
+#: Filters of up to so many bits (16 MB) are tested inside each row; larger ones are joined in a shuffle.
+INLINE_BITS = 1 << 27
 
 
 def bloom_test(probes: DataFrame, bits: DataFrame, items: int = 1_000_000, fpr: float = 0.01, key: str = "full_key", keep: tuple[str, ...] = ()) -> DataFrame:
-    """probes (the key, and columns to keep) with `maybe`: false only for keys that were never added. A filter of bounded size is tested row by row, so probes don't move."""
+    """probes (the key, and columns to keep) with `maybe`: false only for keys that were never added. Probes don't move to meet a
+    filter of bounded size: it is one value of the plan."""
     m, k = bloom_size(items, fpr)
-    set_here = lambda bit, word: F.expr(f"coalesce(shiftrightunsigned({word}, cast({bit} & 63 as int)) & 1L, 0L) = 1L")
-    if m <= BROADCAST_BITS:
-        p = probes.select(F.col(key), *keep, _positions(F.col(key), m, k).alias("_bits"))
+    if m <= INLINE_BITS:
+        every = bits.sparkSession.range((m >> 6) + 1).withColumnRenamed("id", "word").join(bits, "word", "left")
+        words = F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"])
+        filter_ = every.agg(words.alias("words")).scalar()
+        maybe = F.lit(True)
         for i in range(k):
-            words = bits.select(F.col("word").alias(f"_word{i}"), F.col("bits").alias(f"_set{i}"))
-            p = p.join(F.broadcast(words), F.shiftrightunsigned(F.col("_bits")[i], 6) == F.col(f"_word{i}"), "left")
-        every = set_here("_bits[0]", "_set0")
-        for i in range(1, k):
-            every = every & set_here(f"_bits[{i}]", f"_set{i}")
-        return p.select(key, *keep, every.alias("maybe"))
+            bit = _position(F.col(key), i, m)
+            maybe = maybe & (F.getbit(F.get(filter_, F.shiftrightunsigned(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return probes.select(F.col(key), *keep, maybe.alias("maybe"))
     p = probes.select(F.col(key)).distinct().select(key, F.explode(_positions(F.col(key), m, k)).alias("bit"))
     p = p.withColumn("word", F.shiftrightunsigned("bit", 6)).join(bits, "word", "left")
-    found = p.groupBy(key).agg(F.min(set_here("bit", "bits").cast("int")).alias("all"))
-    return probes.select(F.col(key), *keep).join(found, key).select(key, *keep, (F.col("all") == 1).alias("maybe"))
+    set_here = F.expr("coalesce(shiftrightunsigned(bits, cast(bit & 63 as int)) & 1L, 0L)")
+    found = p.groupBy(key).agg((F.min(set_here) == 1).alias("maybe"))
+    return probes.select(F.col(key), *keep).join(found, key).select(key, *keep, "maybe")

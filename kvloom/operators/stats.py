@@ -32,7 +32,7 @@ def bloom_stats(log: DataFrame, items: int = 1_000_000, fpr: float = 0.01) -> Da
 
 
 def stats(log: DataFrame, precision: int = 14, items: int = 1_000_000, fpr: float = 0.01) -> DataFrame:
-    """num_keys, logical_offset, bloom_insertions, bloom_fpr, estimated_keys in one pass over the folded keys."""
+    """num_keys, logical_offset, bloom_insertions, bloom_fpr, estimated_keys, and keys_ever exactly, in one pass over the folded keys."""
     by_key = log.withColumn("_len", record_length()).groupBy("full_key").agg(
         F.max_by(F.col("op") == "put", "seq").alias("live"), F.sum("_len").alias("bytes"), F.count_if(F.col("op") == "put").alias("puts")
     )
@@ -40,6 +40,7 @@ def stats(log: DataFrame, precision: int = 14, items: int = 1_000_000, fpr: floa
     row = by_key.withColumn("ever", ever).agg(
         F.count_if("live").alias("num_keys"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("logical_offset"),
         (2 * F.coalesce(F.sum("puts"), F.lit(0))).alias("bloom_insertions"), F.coalesce(F.hll_sketch_estimate(hll("ever", precision)), F.lit(0)).alias("estimated_keys"),
+        F.count("ever").alias("keys_ever"),
     )
     return row.withColumn("bloom_fpr", bloom_fpr(F.col("bloom_insertions"), items, fpr))
 

@@ -212,8 +212,8 @@ def q18_hll_by_bucket(spark, d):
 def q19_bloom_no_false_negative(spark, d):
     keys = sketches.puts(log_of(spark, d)).select("full_key").distinct()
     bits = sketches.bloom_bits(keys, 10_000)
-    strangers = keys.select(F.concat("full_key", F.lit(b"?")).alias("full_key"))
-    hits = sketches.bloom_test(keys.withColumn("own", F.lit(True)).unionByName(strangers.withColumn("own", F.lit(False))), bits, 10_000, key="full_key", keep=("own",))
+    both = F.array(F.struct(F.col("full_key"), F.lit(True).alias("own")), F.struct(F.concat("full_key", F.lit(b"?")).alias("full_key"), F.lit(False).alias("own")))
+    hits = sketches.bloom_test(keys.select(F.inline(both)), bits, 10_000, keep=("own",))
     wrong = F.count_if(F.col("maybe") & ~F.col("own"))
     return hits.agg(F.count_if("own").alias("n"), F.count_if(F.col("own") & ~F.col("maybe")).cast("int").alias("false_negatives"), (wrong <= 0.05 * F.count("*")).alias("few_false_positives"))
 
@@ -228,11 +228,8 @@ def q20_bloom_stats(spark, d):
   round(pow(1 - exp(-7.0::DOUBLE * (2 * i) / 9585059.0::DOUBLE), 7.0) * 1e12, 3) AS bloom_fpr_e12, x AS keys_ever, TRUE AS within
   FROM (SELECT count(*) AS i, count(DISTINCT (bucket, k)) AS x FROM l WHERE op = 'put')""")
 def q21_stats(spark, d):
-    log = log_of(spark, d)
-    ever = sketches.puts(log).agg(F.countDistinct("full_key").alias("keys_ever"))
     within = (F.abs(F.col("estimated_keys") - F.col("keys_ever")) <= 5 * 1.04 / 128 * F.col("keys_ever") + 1).alias("within")
-    both = st.stats(log).crossJoin(F.broadcast(ever))  # one row each
-    return both.select("num_keys", "logical_offset", "bloom_insertions", F.round(F.col("bloom_fpr") * 1e12, 3).alias("bloom_fpr_e12"), "keys_ever", within)
+    return st.stats(log_of(spark, d)).select("num_keys", "logical_offset", "bloom_insertions", F.round(F.col("bloom_fpr") * 1e12, 3).alias("bloom_fpr_e12"), "keys_ever", within)
 
 
 @query("SELECT bucket, count(*) AS n FROM live GROUP BY bucket")
