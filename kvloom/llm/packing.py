@@ -148,7 +148,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID)
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every id, the end id included, lies in one piece; a null or empty text has its end id alone. Repeated rows are documents
-    of their own. Other columns are not read. An empty table gives no rows. Pieces of one length are told apart by task and
+    of their own, as are rows with a null doc_id. Other columns are not read, whatever their names. An empty table gives no rows. A
+    very long text is encoded whole, in a block of its own, and cut at every multiple of the window. Pieces of one length are told apart by task and
     rank within the task, so a length that a third of all documents has is not gathered anywhere; to the driver goes the
     histogram only (at most `window` rows), and the plan that comes back is bounded by the window too.
     """

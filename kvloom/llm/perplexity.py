@@ -446,7 +446,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     mean over trusted documents. A document is kept if it is not above its language's threshold: the exact `quantile` of trusted
     documents (in steps of 0.1 %) times `margin`. A text without words has its language's mean and is kept; a language without
     trusted documents has no threshold and keeps all. A null lang is a language of its own, shown as ''. Rows with a null doc_id
-    are judged but never trusted. Repeated rows are judged each; labels may repeat. Other columns are not read.
+    are judged but never trusted. Repeated rows are judged each; labels may repeat. Other columns are not read, whatever their names.
+    A very long text is read whole, in a block of its own. An empty table gives no rows; without trusted documents all are kept.
     """
     good = labels.filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
     good = shared.written(good, "trusted")

@@ -213,7 +213,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     Whole texts, encoded as the library does; a null or empty text has the end id alone and decodes to the empty text.
     Distinct chunks (a run of spaces and what follows up to the next, or a line end) are encoded once a block and remembered by
-    the worker. Other columns are not read; repeated rows give repeated rows; there is no shuffle.
+    the worker. Other columns are not read, whatever their names; repeated rows give repeated rows, rows with a null doc_id keep it,
+    and an empty table gives no rows. A very long text is a block of its own. There is no shuffle.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,7 +85,7 @@ def repetition(docs: DataFrame) -> DataFrame:
     """One row for each row of documents: counts, coverage and verdict.
 
     Reads doc_id and text only, whatever other columns there are. A null or empty text has no words: zeros, base_failed true,
-    kept false. Rows are judged one by one, so repeated rows give repeated results and an empty table an empty one.
+    kept false. n-grams and lines of one text are equal if their 64-bit hashes are. Rows are judged one by one, so repeated rows give repeated results and an empty table an empty one.
     A very long text is one block; memory follows the longest text. There is no shuffle.
     """
     names = [c.split()[0] for c in SCHEMA.split(", ")]

@@ -344,7 +344,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Dat
 
     kept holds the other words joined by one space. Windows are judged on the input. A null text has no words; a text of fewer
     than `window` words loses none; a row with a null doc_id loses nothing and takes nothing from others. Rows that share a
-    doc_id don't count as earlier than each other. Other columns are not read. An empty table gives no rows.
+    doc_id don't count as earlier than each other. Other columns are not read, whatever their names. An empty
+    table gives no rows. A very long text is read whole, in a block of its own.
     """
     ranges = repeated_ranges(docs, window, run).groupBy("doc_id").agg(F.collect_set(F.struct("key", "first", "last")).alias("list"))
     rows = docs.select("doc_id", "text").join(ranges, "doc_id", "left").select("doc_id", "text", "list")

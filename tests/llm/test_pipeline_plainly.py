@@ -15,7 +15,8 @@ from test_text_ops import classes, removed
 from test_whole_job import grams, plain
 
 import corpus_pipeline
-from kvloom.llm import minhash, oracles, perplexity, shared
+from kvloom.llm import licenses, minhash, oracles, packing, paragraphs, perplexity, pieces, repetition, separators, shared, substrings
+from kvloom.llm.queries import tokenizer
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that operators use inside.
@@ -131,6 +132,21 @@ def test_stages_on_an_empty_table(spark, corpus):
         assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
 
 
+def test_operators_on_odd_tables(spark, corpus):
+    """Clashing names, null ids and texts, repeated rows: a result for every row; an empty table: none."""
+    folder, rows = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    words, piece_model = tokenizer("word_bpe_49k.json"), tokenizer("piece_bpe_32k.model")
+    operators = [
+        repetition.repetition, paragraphs.fingerprints, licenses.scan, substrings.remove_repeats, minhash.near_duplicates,
+        lambda d: packing.pack(d, words).filter("start = 0"), lambda d: separators.counts_of_documents(d, words, 49407), lambda d: pieces.encode(d, piece_model),
+        lambda d: perplexity.classify(d, spark.read.parquet(f"{folder}/labels.parquet")),
+    ]
+    for operator in operators:
+        assert sorted(str(r["doc_id"]) for r in operator(docs).select("doc_id").collect()) == sorted(str(r[0]) for r in rows)
+        assert operator(docs.limit(0)).count() == 0
+
+
 def test_tables_go_after_use(spark, corpus):
     folder, _ = corpus
     shared_dir = Path(shared.folder(spark).removeprefix("file://"))
