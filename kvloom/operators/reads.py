@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvloom.operators.fold import latest, live_keys
+from kvloom.operators.fold import latest, latest_of_few, live_keys
 
 
 def qualify(bucket: str, key: bytes) -> bytes:
@@ -22,8 +22,9 @@ def in_bucket(bucket: str) -> Column:
 
 
 def get(log: DataFrame, bucket: str, key: bytes) -> DataFrame:
-    """The value of a key: the filter is on the grouping key, so it reaches the scan."""
-    return latest(log.filter(F.col("full_key") == F.lit(qualify(bucket, key)))).select("full_key", "value")
+    """The value of a key: its last record, by a filter that reaches the scan and a top 1 of each task, without a shuffle of records."""
+    last = log.filter(F.col("full_key") == F.lit(qualify(bucket, key))).orderBy(F.desc("seq")).limit(1)
+    return last.filter(F.col("op") == "put").select("full_key", "value")
 
 
 def scan(log: DataFrame, bucket: str) -> DataFrame:
@@ -40,7 +41,7 @@ def scan_first(log: DataFrame, bucket: str, n: int) -> DataFrame:
 def multi_get(probes: DataFrame, log: DataFrame) -> DataFrame:
     """probes(full_key) with their values, null where there is none. The log is cut down to the probed keys before it is folded."""
     keys = probes.select("full_key").distinct()
-    return probes.join(latest(log, log.join(keys, "full_key", "left_semi")).select("full_key", "value"), "full_key", "left")
+    return probes.join(latest_of_few(log.join(keys, "full_key", "left_semi")).select("full_key", "value"), "full_key", "left")
 
 
 def _live_probes(probes: DataFrame, log: DataFrame) -> DataFrame:
