@@ -65,8 +65,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder before the next reads it."""
+    """All stages over documents, each written to the shared folder before the next reads it. Only the last one's table stays."""
     docs = queries.documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with shared.scratch():
+        for name, stage in STAGES[:-1]:
+            docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        return shared.written(STAGES[-1][1](spark, docs, sf_dir), "packed", keep=True)

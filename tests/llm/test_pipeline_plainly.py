@@ -153,3 +153,5 @@ def test_tables_go_after_use(spark, corpus):
     before = {p.name for p in shared_dir.iterdir()}
     minhash.near_duplicates(spark.read.parquet(f"{folder}/documents.parquet")).count()
     assert len({p.name for p in shared_dir.iterdir()} - before) == 1  # the classes that the result reads
+    corpus_pipeline.run(spark, folder)
+    assert sorted(n.partition("-")[0] for n in {p.name for p in shared_dir.iterdir()} - before) == ["classes", "packed"]
