@@ -210,10 +210,12 @@ def q18_hll_by_bucket(spark, d):
 
 @query("SELECT count(DISTINCT (bucket, k)) AS n, 0 AS false_negatives, TRUE AS few_false_positives FROM l WHERE op = 'put'")
 def q19_bloom_no_false_negative(spark, d):
+    """The filter is sized by the keys it takes, which are counted first: one of a fixed size is full at some number of keys and says maybe to any probe."""
     keys = sketches.puts(log_of(spark, d)).select("full_key").distinct()
-    bits = sketches.bloom_bits(keys, 10_000)
+    items = max(10_000, keys.count())
+    bits = sketches.bloom_bits(keys, items)
     both = F.array(F.struct(F.col("full_key"), F.lit(True).alias("own")), F.struct(F.concat("full_key", F.lit(b"?")).alias("full_key"), F.lit(False).alias("own")))
-    hits = sketches.bloom_test(keys.select(F.inline(both)), bits, 10_000, keep=("own",))
+    hits = sketches.bloom_test(keys.select(F.inline(both)), bits, items, keep=("own",))
     wrong = F.count_if(F.col("maybe") & ~F.col("own"))
     return hits.agg(F.count_if("own").alias("n"), F.count_if(F.col("own") & ~F.col("maybe")).cast("int").alias("false_negatives"), (wrong <= 0.05 * F.count("*")).alias("few_false_positives"))
 
